@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceflow.llm.common import components, cut
+from spliceflow.llm.common import components, cut, frame
 
 THRESHOLD = 0.93
 TILE = 1024
@@ -126,7 +126,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             for ids, n in ((ids_a, np.bincount(i, weights=cb[j], minlength=len(a))), (ids_b, np.bincount(j, weights=ca[i], minlength=len(b)))):
                 out += [(x, int(k), None) for x, k in zip(ids.tolist(), n, strict=True) if k]
             out += [(x, 0, y) for x, y in _forest(i, j, ids_a, ids_b)]
-        return pd.DataFrame(out, columns=["rep", "n", "root"]).astype({"rep": "int64", "n": "int64", "root": "Int64"})
+        return frame(out, "rep long, n long, root long")
 
     found = cut(sides.groupBy("ta", "tb").applyInPandas(compare, "rep long, n long, root long"))
     roots = cut(components(found.where("root is not null").select(F.col("rep").alias("u"), F.col("root").alias("v"))))
