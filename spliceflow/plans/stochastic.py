@@ -1 +1,116 @@
-"""Queries of draws and graph searches (added below as their operators are)."""
+"""Queries of draws and graph searches. Draws and searches have no SQL; tests hold them against moments and exhaustive search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from spliceflow.functions import calibration as C
+from spliceflow.functions import special
+from spliceflow.operators import events, graph, posterior
+from spliceflow.plans.domain import sql, view
+from spliceflow.plans.registry import query
+
+
+@query("psi_bootstrap")
+def psi_bootstrap(spark, sf_dir):
+    n = F.expr("inc1 + exc1")
+    rows = view(spark, sf_dir, "ev").select("event_id", F.col("inc1").alias("inc"), F.col("exc1").alias("exc"), F.col("len_ratio").alias("ratio"), C.count_scale(n, F.col("event_type")).alias("scale"), C.inflation(n, F.col("event_type")).alias("inflation"))
+    return posterior.psi_posterior(rows)
+
+
+@query("dpsi_posterior")
+def dpsi_posterior(spark, sf_dir):
+    """Counts dealt to three replicates, the last one empty for some events."""
+    thirds = lambda c: F.expr(f"array({c} - {c} div 2, {c} div 2, CASE WHEN k % 4 = 0 THEN 0 ELSE {c} div 3 END)")
+    rows = view(spark, sf_dir, "ev").where("inc1 + exc1 >= 5 AND inc2 + exc2 >= 5")
+    return posterior.dpsi_posterior(rows.select("event_id", F.col("len_ratio").alias("ratio"), *(thirds(c).alias(c) for c in ("inc1", "exc1", "inc2", "exc2"))))
+
+
+@query("beta_ci")
+def beta_ci(spark, sf_dir):
+    rows = view(spark, sf_dir, "ev").withColumn("ci", special.beta_interval(F.col("inc1") + 1.0, F.col("exc1") + 1.0))
+    none = F.col("inc1") + F.col("exc1") == 0
+    return rows.select("event_id", F.when(none, 0.0).otherwise(F.col("ci.low")).alias("ci_low"), F.when(none, 1.0).otherwise(F.col("ci.high")).alias("ci_high"))
+
+
+@query("replicate_combine", sql("ev") + """, r AS (SELECT event_id, (inc1 + 0.5e0) / (inc1 + exc1 + 1) AS psi, inc1 AS inc, exc1 AS exc FROM ev UNION ALL SELECT event_id, (inc2 + 0.5e0) / (inc2 + exc2 + 1), inc2, exc2 FROM ev),
+i AS (SELECT *, greatest(psi - 0.1, 0e0) AS lo, least(psi + 0.1, 1e0) AS hi FROM r),
+c AS (SELECT event_id, avg(psi) AS psi, sqrt(coalesce(var_samp(psi), 0) + avg(((hi - lo) / (2 * 1.959963984540054e0)) * ((hi - lo) / (2 * 1.959963984540054e0)))) AS sd, CAST(sum(inc) AS BIGINT) AS inc, CAST(sum(exc) AS BIGINT) AS exc FROM i GROUP BY event_id)
+SELECT event_id, round(psi, 8) AS psi, round(greatest(0e0, psi - 1.959963984540054e0 * sd), 8) AS ci_low, round(least(1e0, psi + 1.959963984540054e0 * sd), 8) AS ci_high, inc, exc FROM c""")
+def replicate_combine(spark, sf_dir):
+    ev = view(spark, sf_dir, "ev")
+    one = lambda g: ev.select("event_id", C.beta_mean(F.col(f"inc{g}"), F.col(f"exc{g}")).alias("psi"), F.col(f"inc{g}").alias("inc"), F.col(f"exc{g}").alias("exc"))
+    rows = one(1).union(one(2)).withColumns({"ci_low": F.greatest(F.col("psi") - 0.1, F.lit(0.0)), "ci_high": F.least(F.col("psi") + 0.1, F.lit(1.0))})
+    out = posterior.combine_replicates(rows).drop("replicates")
+    return out.withColumns({c: F.round(c, 8) for c in ("psi", "ci_low", "ci_high")})
+
+
+@query("thin_counts")
+def thin_counts(spark, sf_dir):
+    return posterior.thin_counts(view(spark, sf_dir, "ev").select("event_id", "inc1", "exc1"), 0.25, ["inc1", "exc1"])
+
+
+@query("bootstrap_coverage")
+def bootstrap_coverage(spark, sf_dir):
+    rows = view(spark, sf_dir, "cal").select("id", "event_type", (F.abs(F.col("truth") - F.col("estimate")) <= F.col("scale")).cast("double").alias("hit"))
+    return posterior.bootstrap_interval(rows, ["event_type"], "hit", 100)
+
+
+@query("mcnemar_p")
+def mcnemar_p(spark, sf_dir):
+    right = lambda t: (F.col("score") >= t) == (F.col("label") == 1)
+    rows = view(spark, sf_dir, "scored").select("grp", right(0.6).alias("x"), right(0.4).alias("y"))
+    n = lambda c: F.sum(c.cast("long"))
+    counts = rows.groupBy("grp").agg(n(F.col("x") & ~F.col("y")).alias("b"), n(F.col("y") & ~F.col("x")).alias("c"))
+    return counts.withColumn("p", special.mcnemar_p(F.col("b"), F.col("c")))
+
+
+@query("detection_p")
+def detection_p(spark, sf_dir):
+    from spliceflow.plans.calibration import scored
+
+    return scored(spark, sf_dir).select("event_id", special.two_sided_p(F.col("dpsi"), F.col("sd")).alias("p"))
+
+
+def _graph(spark, sf_dir):
+    near = events.with_neighbours(view(spark, sf_dir, "exons"))
+    js = events.introns(near).withColumn("locus", F.expr("cast(substring(gene_id, 2) as bigint)")).groupBy("locus", "js", "je").agg(F.count(F.lit(1)).alias("count"))
+    loci = near.withColumn("locus", F.expr("cast(substring(gene_id, 2) as bigint)")).groupBy("locus").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return loci, js
+
+
+_SEG = sql("exons") + """, x AS (SELECT *, gene AS locus, lead(s) OVER (PARTITION BY tx ORDER BY s) AS ds FROM exons), j AS (SELECT DISTINCT locus, e AS js, ds AS je FROM x WHERE ds IS NOT NULL), l AS (SELECT locus, min(s) AS s, max(e) AS e FROM x GROUP BY locus),
+p AS (SELECT locus, s AS p FROM l UNION SELECT locus, e FROM l UNION SELECT locus, js FROM j UNION SELECT locus, je FROM j), g AS (SELECT locus, p AS s, lead(p) OVER (PARTITION BY locus ORDER BY p) AS e FROM p)
+SELECT locus, s, e FROM g WHERE e IS NOT NULL AND (EXISTS (SELECT 1 FROM j WHERE j.locus = g.locus AND je = s) OR EXISTS (SELECT 1 FROM j WHERE j.locus = g.locus AND js = e) OR (e - s >= 20 AND NOT EXISTS (SELECT 1 FROM j WHERE j.locus = g.locus AND js <= s AND je >= e)))"""
+
+
+@query("exon_segments", _SEG)
+def exon_segments(spark, sf_dir):
+    return graph.segments(*_graph(spark, sf_dir))
+
+
+def _edges(spark, sf_dir):
+    loci, js = _graph(spark, sf_dir)
+    return graph.graph(graph.segments(loci, js), js)[1]
+
+
+@query("graph_paths")
+def graph_paths(spark, sf_dir):
+    out = graph.decompose(_edges(spark, sf_dir))
+    return out.select("locus", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "weight", "bottleneck")
+
+
+@query("edge_bootstrap")
+def edge_bootstrap(spark, sf_dir):
+    out = graph.decompose(_edges(spark, sf_dir), most=20, resamples=20)
+    return out.select("locus", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "weight", "low", "high", "presence")
+
+
+@query("locus_flow")
+def locus_flow(spark, sf_dir):
+    return graph.locus_flow(_edges(spark, sf_dir))
+
+
+@query("graph_psi")
+def graph_psi(spark, sf_dir):
+    return graph.exon_inclusion(graph.decompose(_edges(spark, sf_dir)))
