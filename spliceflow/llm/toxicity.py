@@ -1,10 +1,11 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
 A word's tokens are its beginnings of a few lengths, so that inflected and compounded forms share what is learned of their stem.
-Training counts them in toxic and other labelled documents and turns them into log-odds with a Dirichlet prior, shrunk by their
-standard error; a word scores as its longest known beginning, and one without gets a constant negative score such that a segment's expected score is negative. A text's
-toxic passages are its maximal-scoring segments (linear time), significant ones being those whose extreme-value (Karlin-Altschul)
-expectation in a text of that length is small. The expectations are added up and calibrated to a probability on the training rows.
+Training counts them in toxic and other labelled documents and turns them into log-odds with a Dirichlet prior, less two standard
+errors; a word scores as its longest known beginning, and one without a constant below zero such that a segment's expected score is
+negative. A text's toxic passages are its maximal-scoring segments (linear time), significant ones being those whose extreme-value
+(Karlin-Altschul) expectation in a text of that length is small. The least expectation, the number of significant passages and the
+sum of the scores are calibrated to a probability on the training rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from spliceflow.llm.common import cut, frame
 PRIOR = 500.0
 #: Least pseudo-count of a token: a token that one class lacks then has a finite standard error.
 PRIOR_LEAST = 0.5
-#: Standard errors by which a log-odds must differ from zero to be taken into the model.
-MIN_Z = 3.0
-#: Size of the model: tokens kept, those with the largest z. A bound on what is sent to the tasks.
+#: Standard errors that are taken off a token's log-odds.
+MIN_Z = 2.0
+#: What must be left for the token to enter the model: a text with the token is then likelier toxic than not, if one in nine is.
+MIN_ODDS = 2.2
+#: Size of the model: tokens kept, those with the largest scores. A bound on what is sent to the tasks.
 MODEL_TOKENS = 20_000
 #: Labelled rows on which the final calibration is fitted (all counts use all labelled rows): those with the smallest hashes.
 CALIBRATION_ROWS = 20_000
@@ -171,9 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1")) / max(t0 + t1, 1.0) + PRIOR_LEAST
     odds = lambda n, total: F.log((n + prior) / (total + PRIOR - n + 0.01))
     delta = odds(F.col("n1"), t1) - odds(F.col("n0"), t0)
-    scored = counts.select("token", "n0", "n1", delta.alias("delta"), (delta / F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))).alias("z")).where((F.abs("z") >= MIN_Z) & ((F.col("n1") >= MIN_DOCS) | (F.col("delta") < 0)))
-    best = scored.orderBy(F.desc(F.abs("z")), "token").limit(MODEL_TOKENS).collect()
-    scores = {r["token"]: float(r["delta"] - np.sign(r["delta"]) * abs(r["delta"]) / max(abs(r["z"]), 1.0)) for r in best}
+    error = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
+    scored = counts.select("token", "n0", (delta - MIN_Z * error).alias("score")).where((F.col("score") >= MIN_ODDS) & (F.col("n1") >= MIN_DOCS))
+    best = scored.orderBy(F.desc("score"), "token").limit(MODEL_TOKENS).collect()
+    scores = {r["token"]: float(r["score"]) for r in best}
     held = np.array([scores[r["token"]] for r in best] + [0.0])
     base = np.array([float(r["n0"]) for r in best] + [0.0])
     base[-1] = max(t0 - base.sum(), 1.0)
