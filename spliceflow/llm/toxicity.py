@@ -11,8 +11,9 @@ sum of the scores are calibrated to a probability on the training rows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -27,12 +28,14 @@ PRIOR = 500.0
 PRIOR_LEAST = 0.5
 #: Standard errors that are taken off a token's log-odds.
 MIN_Z = 2.0
-#: What must be left for the token to enter the model: a text with the token is then likelier toxic than not, if one in nine is.
-MIN_ODDS = 2.2
+#: What must at least be left for a token to enter the model. Each of these is tried on the calibration rows.
+ODDS = (0.7, 1.2, 1.7, 2.2)
 #: Size of the model: tokens kept, those with the largest scores. A bound on what is sent to the tasks.
 MODEL_TOKENS = 20_000
-#: Labelled rows on which the final calibration is fitted (all counts use all labelled rows): those with the smallest hashes.
-CALIBRATION_ROWS = 20_000
+#: Labelled rows used for fitting, at most about: a sample by hash where there are more. Their ids are sent to the tasks.
+TRAINING_ROWS = 200_000
+#: One in so many of them is kept from the counts and used for calibration.
+CALIBRATION = 4
 #: Expected chance segments at which a passage still counts as significant.
 MAX_E = 0.05
 CUTOFF = 0.3
@@ -40,7 +43,7 @@ CUTOFF = 0.3
 BEGINNINGS = range(3, 8)
 #: Toxic documents that a token must be in to be taken into the model as a sign of toxicity.
 MIN_DOCS = 5
-COUNTS = "token string, n0 long, n1 long"
+COUNTS = "token string, n0 long, n1 long, c0 long, c1 long"
 PASSAGES = "doc_id long, first_word long, end_word long, score double, expected double, words string"
 _WORD = re.compile(r"\w+")
 
@@ -143,78 +146,98 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     Labels other than 0 and 1, null labels and labels of ids that documents lack are passed over. Without rows of both classes the
     model gives every text the share of toxic labels (0.0 without labels).
     """
-    known = labels.select(F.col(id_col).alias("__id"), F.col(toxic_col).cast("int").alias("toxic")).where("toxic in (0, 1)").groupBy("__id").agg(F.max("toxic").alias("toxic"))
-    train = docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(known, "__id")
+    known = labels.select(F.col(id_col).alias("__id"), F.col(toxic_col).cast("int").alias("toxic")).where("toxic in (0, 1) and __id is not null").where(~held_out(F.col("__id")))
+    known = cut(known.groupBy("__id").agg(F.max("toxic").alias("toxic")).withColumn("__draw", F.pmod(F.xxhash64("__id"), F.lit(1 << 30))))
+    kept = min(1.0, TRAINING_ROWS / max(known.count(), 1))
+    known = known.where(F.col("__draw") < int(kept * (1 << 30)))
+    # A bounded list of ids: the texts stay where they are.
+    labelled = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(known), "__id").drop("__id")
+    labelled = labelled.withColumn("part", (F.col("__draw") % CALIBRATION == 0).cast("int")).drop("__draw")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
-        seen = (Counter(), Counter())
-        rows = [0, 0]
+        seen = tuple(Counter() for _ in range(4))
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-                # A token counts once for each document: one long text can't make a token toxic.
-                seen[toxic].update({token for word in set(words_of(text)) for token in tokens(word)})
-                rows[toxic] += 1
+            for text, toxic, part in zip(batch["text"], batch["toxic"], batch["part"], strict=True):
+                # A token counts once for each document: one long text can't make a token toxic. The empty token counts documents.
+                seen[2 * part + toxic].update({"", *(token for word in set(words_of(text)) for token in tokens(word))})
             if sum(map(len, seen)) > 300_000:
                 yield _counted(seen)
-                seen = (Counter(), Counter())
+                seen = tuple(Counter() for _ in range(4))
         yield _counted(seen)
-        yield frame([("", *rows)], COUNTS)
 
-    counts = cut(train.mapInPandas(count, COUNTS).groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    rows = counts.where(F.length("token") == 0).first()
-    rows = (rows["n0"] or 0, rows["n1"] or 0) if rows else (0, 0)
-    if not min(rows):
-        share = rows[1] / max(sum(rows), 1)
+    counts = cut(labelled.mapInPandas(count, COUNTS).groupBy("token").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "c0", "c1"))))
+    rows = counts.where("token = ''").first()
+    n0, n1 = (rows["n0"] + rows["c0"], rows["n1"] + rows["c1"]) if rows else (0, 0)
+    if not min(n0, n1):
+        share = n1 / max(n0 + n1, 1)
         return Model({}, -1.0, 1.0, 1.0, (float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), 0.0, 0.0, 0.0))
-    counts = counts.where(F.length("token") > 0)
+    # The threshold and the map to a probability come from rows that the counts before it haven't seen; the counts then take in all.
+    odds, weights = _calibrated(_models(counts.select("token", "n0", "n1"), ODDS), ODDS, labelled.where("part = 1"))
+    return replace(_models(counts.select("token", (F.col("n0") + F.col("c0")).alias("n0"), (F.col("n1") + F.col("c1")).alias("n1")), (odds,))[0], weights=weights)
+
+
+def _models(counts: DataFrame, thresholds: tuple[float, ...]) -> list[Model]:
+    """A model for each least score, from counts(token, n0, n1) of documents."""
+    counts = counts.where("token <> ''")
     sums = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
     t0, t1 = float(sums["n0"] or 0), float(sums["n1"] or 0)
     prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1")) / max(t0 + t1, 1.0) + PRIOR_LEAST
     odds = lambda n, total: F.log((n + prior) / (total + PRIOR - n + 0.01))
     delta = odds(F.col("n1"), t1) - odds(F.col("n0"), t0)
     error = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    scored = counts.select("token", "n0", (delta - MIN_Z * error).alias("score")).where((F.col("score") >= MIN_ODDS) & (F.col("n1") >= MIN_DOCS))
+    scored = counts.select("token", "n0", (delta - MIN_Z * error).alias("score")).where((F.col("score") >= min(thresholds)) & (F.col("n1") >= MIN_DOCS))
     best = scored.orderBy(F.desc("score"), "token").limit(MODEL_TOKENS).collect()
-    scores = {r["token"]: float(r["score"]) for r in best}
-    held = np.array([scores[r["token"]] for r in best] + [0.0])
-    base = np.array([float(r["n0"]) for r in best] + [0.0])
-    base[-1] = max(t0 - base.sum(), 1.0)
+    clean = {r["token"]: float(r["n0"]) for r in best}
+    return [_model({r["token"]: float(r["score"]) for r in best if r["score"] >= least}, clean, t0) for least in thresholds]
+
+
+def _model(scores: dict, clean: dict, total: float) -> Model:
+    """Scores with the constant for other words and the parameters of the extreme-value distribution in clean texts."""
+    held = np.array([*scores.values(), 0.0])
+    base = np.array([*(clean[t] for t in scores), 0.0])
+    base[-1] = max(total - base.sum(), 1.0)
     base /= base.sum()
-    # Any other token costs a little: the mean gain of the model's tokens in clean texts, twice, and at least a hundredth.
-    other = -max(0.01, 2 * float((base * np.maximum(held, 0)).sum()))
-    held[-1] = other
-    model = Model(scores, other, *_karlin(held, base), heads=frozenset(token[:3] for token in scores))
-    return _calibrated(model, train)
+    # Any other word costs a little: the mean gain of the model's tokens in clean texts, twice, and at least a hundredth.
+    held[-1] = other = -max(0.01, 2 * float((base * held).sum()))
+    return Model(scores, other, *_karlin(held, base), heads=frozenset(token[:3] for token in scores))
 
 
 def _counted(seen: tuple) -> pd.DataFrame:
-    return frame([(w, seen[0][w], seen[1][w]) for w in seen[0].keys() | seen[1].keys()], COUNTS)
-
+    return frame([(w, *(c[w] for c in seen)) for w in set().union(*seen)], COUNTS)
 
-def _calibrated(model: Model, train: DataFrame) -> Model:
-    """model with a logistic map from the features to a probability, fitted on a bounded sample of the training rows."""
-    sample = train.orderBy(F.xxhash64("__id"), "__id").limit(CALIBRATION_ROWS)
-    shared = train.sparkSession.sparkContext.broadcast(model)
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = [shared.value.features(words_of(t)) for t in batch["text"]]
-            yield pd.DataFrame(x, columns=["a", "b", "c"]).assign(toxic=batch["toxic"].to_numpy())
-
-    rows = train.join(sample.select("__id"), "__id", "left_semi").mapInPandas(measure, "a double, b double, c double, toxic int").collect()
-    x = np.array([[1.0, r["a"], r["b"], r["c"]] for r in rows])
-    y = np.array([float(r["toxic"]) for r in rows])
-    w = np.zeros(4)
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of a slightly damped logistic regression, and its mean log loss."""
+    w = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + 0.01 * w
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(4) * 0.01, g)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) * 0.1, x.T @ (p - y) + 0.1 * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return Model(model.scores, model.other, model.rate, model.scale, tuple(float(v) for v in w), model.heads)
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-9, 1 - 1e-9)
+    return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
+
+
+def _calibrated(models: list[Model], thresholds: tuple[float, ...], check: DataFrame) -> tuple[float, tuple]:
+    """The threshold whose model tells the calibration rows apart best, and the weights from its features to a log-odds."""
+    shared = check.sparkSession.sparkContext.broadcast(models)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for text in batch["text"]:
+                words = words_of(text)
+                rows.append([v for m in shared.value for v in m.features(words)])
+            yield pd.DataFrame({"x": rows, "toxic": batch["toxic"].to_numpy()})
+
+    rows = check.mapInPandas(measure, "x array<double>, toxic int").collect()  # a bounded sample
+    if not rows:
+        return thresholds[-1], (-2.2, 1.0, 1.0, 0.0)
+    x, y = np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows])
+    fitted = [_logistic(np.column_stack([np.ones(len(y)), x[:, 3 * k : 3 * k + 3]]), y) for k in range(len(models))]
+    best = min(range(len(models)), key=lambda k: (fitted[k][1], -k))
+    return thresholds[best], tuple(float(v) for v in fitted[best][0])
 
 
 def score(text: Column, model: Model) -> Column:
