@@ -110,4 +110,13 @@ SELECT d.doc_id, k.found AS license, CAST(coalesce(n_notices, 0) AS BIGINT) AS n
 FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents) d LEFT JOIN k USING (digest) LEFT JOIN n USING (doc_id)
 """
 
-SQL = {"op3_decontamination": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_license_scan": OP5_SQL}
+OP6_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= {embedding_dedup.THRESHOLD}),
+reach AS (SELECT a, b FROM p UNION SELECT reach.a, p.b FROM reach JOIN p ON reach.b = p.a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(m, v.vec_id)) AS component_id, v.vec_id <= coalesce(m, v.vec_id) AS kept
+FROM v LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) d ON d.a = v.vec_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = v.vec_id
+"""
+
+SQL = {"op6_embedding_dedup": OP6_SQL, "op3_decontamination": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_license_scan": OP5_SQL}
