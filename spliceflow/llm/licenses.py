@@ -59,7 +59,9 @@ def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text
     # A canonical text can't be longer than the longest known one; digests of longer ones aren't needed.
     whole = read.select("doc_id", "text", canonical(F.col("text")).alias("c"))
     whole = whole.select("doc_id", "text", F.when(F.length("c").between(1, longest), F.sha2("c", 256)).alias("digest")).join(small, "digest", "left").withColumnRenamed("found", "license")
-    lines = read.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"), F.explode(F.split("text", "\n")).alias("line"))
+    # Numbered before the lines are taken apart: rows that repeat id and text are counted each by itself.
+    numbered = read.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    lines = numbered.select("doc_id", "hash", "row", F.explode(F.split("text", "\n")).alias("line"))
     met = lines.select("doc_id", "hash", "row", canonical(F.col("line")).alias("c")).where(F.length("c").between(1, longest)).select("doc_id", "hash", "row", F.sha2("c", 256).alias("digest")).join(small, "digest")
     by_row = met.groupBy("doc_id", "hash", "row").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("found")).alias("ids"))
     notices = cut(by_row.groupBy(F.col("doc_id").alias("d"), F.col("hash").alias("h")).agg(F.first("n").alias("n"), F.first("ids").alias("ids")))

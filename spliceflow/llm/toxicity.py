@@ -22,14 +22,15 @@ from pyspark.sql import functions as F
 
 from spliceflow.llm.common import cut, frame
 
-#: Strength of the prior: pseudo-counts shared out by the tokens' overall frequency.
+#: Strength of the prior: pseudo-counts shared out by the tokens' overall frequency, and their most as a share of all counts.
 PRIOR = 500.0
+PRIOR_SHARE = 0.01
 #: Least pseudo-count of a token: a token that one class lacks then has a finite standard error.
 PRIOR_LEAST = 0.5
 #: Standard errors that are taken off a token's log-odds.
 MIN_Z = 2.0
 #: What must at least be left for a token to enter the model. Each of these is tried on the calibration rows.
-ODDS = (0.7, 1.2, 1.7, 2.2)
+ODDS = (0.0, 0.7, 1.2, 1.7, 2.2)
 #: Size of the model: tokens kept, those with the largest scores. A bound on what is sent to the tasks.
 MODEL_TOKENS = 20_000
 #: Labelled rows used for fitting, at most about: a sample by hash where there are more. Their ids are sent to the tasks.
@@ -181,8 +182,9 @@ def _models(counts: DataFrame, thresholds: tuple[float, ...]) -> list[Model]:
     counts = counts.where("token <> ''")
     sums = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
     t0, t1 = float(sums["n0"] or 0), float(sums["n1"] or 0)
-    prior = F.lit(PRIOR) * (F.col("n0") + F.col("n1")) / max(t0 + t1, 1.0) + PRIOR_LEAST
-    odds = lambda n, total: F.log((n + prior) / (total + PRIOR - n + 0.01))
+    strength = min(PRIOR, PRIOR_SHARE * (t0 + t1))
+    prior = F.lit(strength) * (F.col("n0") + F.col("n1")) / max(t0 + t1, 1.0) + PRIOR_LEAST
+    odds = lambda n, total: F.log((n + prior) / (total + strength - n + 0.01))
     delta = odds(F.col("n1"), t1) - odds(F.col("n0"), t0)
     error = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
     scored = counts.select("token", "n0", (delta - MIN_Z * error).alias("score")).where((F.col("score") >= min(thresholds)) & (F.col("n1") >= MIN_DOCS))
