@@ -42,8 +42,10 @@ SHIPPED_PSI = Calibrator(PSI_Q_GLOBAL, PSI_Q)
 
 
 def lookup(key: Column, table: dict[str, float]) -> Column:
-    """The table's value for key, null if it has none: a chain of comparisons, folded into the stage's code."""
-    return reduce(lambda c, kv: c.when(key == kv[0], F.lit(float(kv[1]))), list(table.items())[1:], F.when(key == next(iter(table)), F.lit(float(next(iter(table.values())))))) if table else F.lit(None).cast("double")
+    """The table's value for key, null if it has none: a folded map literal, so that key stands in the expression once."""
+    if not table:
+        return F.lit(None).cast("double")
+    return F.try_element_at(F.create_map(*(F.lit(x) for k, v in table.items() for x in (k, float(v)))), key)
 
 
 def finite(x: Column) -> Column:
@@ -89,20 +91,28 @@ def quantile_for(cal: Calibrator, support: Column, event_type: Column | None = N
 
 
 def _around(center: Column, half: Column, low: float, high: float) -> Column:
-    bad = center.isNull() | half.isNull() | F.isnan(center) | F.isnan(half) | (F.abs(half) == float("inf")) | (F.abs(center) == float("inf"))
-    clip = lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(high))
-    return F.struct(F.when(bad, F.lit(low)).otherwise(clip(center - half)).alias("low"), F.when(bad, F.lit(high)).otherwise(clip(center + half)).alias("high"))
+    """Null and NaN give the whole range, and so does an infinite center, whose difference with itself is NaN."""
+    c = center + (center - center)
+
+    def clip(x: Column, otherwise: float) -> Column:
+        return F.least(F.greatest(F.nanvl(F.coalesce(x, F.lit(otherwise)), F.lit(otherwise)), F.lit(low)), F.lit(high))
+
+    return F.struct(clip(c - half, low).alias("low"), clip(c + half, high).alias("high"))
+
+
+def _not_negative(x: Column) -> Column:
+    """x, at least 0; null and NaN stay."""
+    return F.when(x < 0, F.lit(0.0)).otherwise(x)
 
 
 def plain_interval(center: Column, scale: Column, q: Column, low: float = 0.0, high: float = 1.0) -> Column:
     """center -/+ q * scale, clipped; the whole range where something isn't finite."""
-    return _around(center, q * F.greatest(scale, F.lit(0.0)), low, high)
+    return _around(center, q * _not_negative(scale), low, high)
 
 
 def robust_interval(center: Column, std: Column, q: Column, z: float = Z95, low: float = -1.0, high: float = 1.0) -> Column:
     """Half-width q and z standard deviations added in quadrature."""
-    spread = F.lit(z) * F.greatest(std, F.lit(0.0))
-    return _around(center, F.sqrt(q * q + spread * spread), low, high)
+    return _around(center, F.hypot(q, F.lit(z) * _not_negative(std)), low, high)
 
 
 def reliable(interval: Column) -> Column:

@@ -35,7 +35,7 @@ def test_tier_table(spark):
 def test_bins_and_non_finite_intervals(spark):
     rows = spark.createDataFrame([(19.5,), (20.0,), (249.9,), (250.0,), (None,), (float("nan"),), (-3.0,)], "s double")
     assert [r.b for r in rows.select(C.support_bin(F.col("s")).alias("b")).collect()] == ["<20", "20-49", "100-249", "250+", "<20", "<20", "<20"]
-    odd = spark.createDataFrame([(None, 0.1), (0.5, float("nan")), (float("inf"), 0.1)], "p double, s double")
+    odd = spark.createDataFrame([(None, 0.1), (0.5, float("nan")), (float("inf"), 0.1), (float("-inf"), 0.1), (0.5, None), (0.5, float("inf")), (float("nan"), 0.1)], "p double, s double")
     assert {tuple(r.i) for r in odd.select(C.plain_interval(F.col("p"), F.col("s"), F.lit(1.0)).alias("i")).collect()} == {(0.0, 1.0)}
 
 
