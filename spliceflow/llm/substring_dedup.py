@@ -1,8 +1,10 @@
 """Substring dedup: runs of several consecutive sentences are hashed and joined over all documents; repeats are removed.
 
-A sentence ends after . ! ? followed by white space, at a line break, or after MAX_WORDS words (so that text without stops has
-sentences too). From each sentence a run goes on until it has at least RUN_SENTENCES sentences and MIN_WORDS words; a run that the text
-ends before isn't one. The first of equal runs, by document id and place, stays; sentences that any other occurrence covers go.
+A sentence ends after . ! ? followed by white space or at a line break. One of over WHOLE_WORDS words is cut further, at places that the
+words around them alone decide (see _cuts), so that a passage is cut alike wherever it begins and what follows a changed word is too; no
+sentence has over MAX_WORDS words. From each sentence a run goes on until it has at least MIN_WORDS words, and RUN_SENTENCES sentences or
+MAX_WORDS words; a run that the text ends before isn't one. The first of equal runs, by document id and place, stays; sentences that any
+other occurrence covers go.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,23 +23,46 @@ from spliceflow.llm.common import cut, frame
 RUN_SENTENCES = 3
 MIN_WORDS = 16
 MAX_WORDS = 20
+#: Longer sentences are cut at words whose hash is the least of NEAR words on either side.
+WHOLE_WORDS = 12
+NEAR = 2
 _WORD = re.compile(r"\S+\s*")
 _STOP = re.compile(r"[.!?][\"')\]]*\s+$|[\r\n]\s*$")
 RUNS = "doc_id long, text_hash long, high long, low long, first int, n int"
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """Where the pieces of a sentence begin, and its end: at the least hash of NEAR words on either side (of equals the first), where a
+    repeated word ends, and after MAX_WORDS words without such a place."""
+    n, out = len(words), [0]
+    if n > WHOLE_WORDS:
+        h = [crc32(w.rstrip().encode("utf-8", "replace")) for w in words]
+        for i in range(NEAR, n - NEAR):
+            x, y = h[i], h[i - 1]
+            if (x < y and x <= h[i + 1] and x < min(h[i - NEAR : i]) and x <= min(h[i + 1 : i + NEAR + 1])) or (x != y and y == h[i - 2]):
+                out += range(out[-1] + MAX_WORDS, i, MAX_WORDS)
+                out.append(i)
+    return [*out, *range(out[-1] + MAX_WORDS, n, MAX_WORDS), n]
+
+
 def sentences(text: str | None) -> list[tuple[int, int, int]]:
     """(start, end, number of words) of each sentence; they tile the text from its first word on."""
-    out, start, words, end = [], None, 0, 0
+    out, starts, words = [], [], []
+
+    def close(end: int) -> None:
+        at = _cuts(words)
+        starts.append(end)
+        out.extend((starts[a], starts[b], b - a) for a, b in zip(at, at[1:], strict=False))
+        starts.clear()
+        words.clear()
+
     for m in _WORD.finditer(text or ""):
-        if start is None:
-            start = m.start()
-        words, end = words + 1, m.end()
-        if words == MAX_WORDS or _STOP.search(m.group()):
-            out.append((start, end, words))
-            start, words = None, 0
-    if start is not None:
-        out.append((start, end, words))
+        starts.append(m.start())
+        words.append(m.group())
+        if _STOP.search(words[-1]):
+            close(m.end())
+    if words:
+        close(len(text))
     return out
 
 
@@ -46,10 +72,10 @@ def runs(text: str) -> list[tuple[bytes, int, int]]:
     plain = [" ".join(text[a:b].split()) for a, b, _ in cuts]
     out, end, words = [], 0, 0
     for first in range(len(cuts)):
-        while end < len(cuts) and (end - first < RUN_SENTENCES or words < MIN_WORDS):
+        while end < len(cuts) and (words < MIN_WORDS or (end - first < RUN_SENTENCES and words < MAX_WORDS)):
             words += cuts[end][2]
             end += 1
-        if end - first < RUN_SENTENCES or words < MIN_WORDS:
+        if words < MIN_WORDS or (end - first < RUN_SENTENCES and words < MAX_WORDS):
             break
         out.append((blake2b("\n".join(plain[first:end]).encode("utf-8", "replace"), digest_size=16).digest(), first, end - first))
         words -= cuts[first][2]

@@ -138,3 +138,28 @@ def test_substring_dedup(spark):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
     odd = [(None, rows[0][1], "", "", 1), (7, rows[0][1], "", "", 1), (7, rows[0][1], "", "", 1), (7, "Other text.", "", "", 1)]
     assert [r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(odd, DOCS)).orderBy("doc_id", "text").collect()] == ["", "Other text.", rows[0][1], rows[0][1]]
+
+
+@pytest.mark.parametrize("n_words", [51, 55, 59, 60, 80, 200])
+def test_passages_without_stops_at_any_place(spark, n_words):
+    """Over 50 words without a stop, begun in the middle of a sentence, at other places of the two documents."""
+    rng = random.Random(n_words)
+    some = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+    rows, passages = [], []
+    for k in range(40):
+        passages.append(some(n_words))
+        rows += [(2 * k + i, f"{some(rng.randrange(1, 60))} {passages[k]} {some(rng.randrange(1, 60))}", "", "", 1) for i in range(2)]
+    cleaned = {r.doc_id: r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    left = [len(set(passages[k].split()) & set(cleaned[2 * k + 1].split())) for k in range(40)]
+    assert max(left) < n_words - 15 and sum(left) / 40 < 12
+    for k in range(40):
+        assert cleaned[2 * k] == rows[2 * k][1]
+        assert set(rows[2 * k + 1][1].split()) - set(passages[k].split()) <= set(cleaned[2 * k + 1].split())
+
+
+def test_a_changed_word_keeps_the_rest_aligned():
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    for changed in (words[:40] + words[41:], [*words[:40], "new", *words[40:]]):
+        both = {r[0] for r in substring_dedup.runs(" ".join(words))} & {r[0] for r in substring_dedup.runs(" ".join(changed))}
+        assert len(both) > 0.8 * len(substring_dedup.runs(" ".join(words)))
