@@ -66,6 +66,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     a shorter one. Null and empty texts have no words and no hits; null ids stay; rows that repeat an id are judged each by its own
     text; an empty table of docs gives an empty one, an empty benchmark no hits. Other columns aren't read.
     """
+    return _judged(docs, items, id_col, text_col, window_words).drop("text_hash")
+
+
+def _judged(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, window_words: int) -> DataFrame:
+    """decontaminate() with the hash of each text."""
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
     parsed = read.select("doc_id", F.xxhash64("t").alias("text_hash"), words_of(F.col("t")).alias("w"))
     windows = cut(windows_of(items, window_words=window_words).withColumn("window", F.xxhash64("words")).withColumn("block_key", F.monotonically_increasing_id()))
@@ -92,14 +97,18 @@ def _told(rows: DataFrame) -> DataFrame:
         lambda a: a["hit"],
     )
     ids = F.coalesce("item_ids", F.expr("cast(array() as array<string>)"))
-    return rows.select("doc_id", "n_words", covered.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), ids.alias("item_ids")).withColumn("contaminated", F.col("n_hit") > 0)
+    return rows.select("doc_id", "text_hash", "n_words", covered.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", ids), 256).alias("items_sha256"), ids.alias("item_ids")).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents that hold a window of an item; rows with a contaminated id go together, with all columns otherwise kept."""
-    judged = decontaminate(docs, items, id_col, text_col)
-    hit = cut(judged.where("contaminated").select(F.col("doc_id").alias("__hit")).distinct())
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+    """docs without the documents that hold a window of an item, with all columns otherwise kept.
+
+    Rows with a contaminated id go together; rows without an id are documents of their own, each judged by its text.
+    """
+    judged = _judged(docs, items, id_col, text_col, WINDOW_WORDS)
+    own = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
+    hit = cut(judged.where("contaminated").select(F.col("doc_id").alias("__hit"), own.alias("__hash")).distinct())
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__hit")) & F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).eqNullSafe(F.col("__hash")), "left_anti")
 
 
 __all__ = ["BLOCK_WINDOWS", "SHINGLE", "WINDOW_WORDS", "decontaminate", "drop_contaminated", "windows_of", "words_of"]

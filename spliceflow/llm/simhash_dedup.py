@@ -108,21 +108,37 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     included (ids that are null are passed over; it is null where a component has no other). Null and empty texts have fingerprint
     zero and link like any other. Rows that repeat an id are each kept. An empty table gives an empty one; other columns aren't read.
     """
-    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp")))
+    return _grouped(docs, id_col, text_col, []).select("doc_id", "fp", "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, more: list[Column]) -> DataFrame:
+    """(doc_id, fp, more, root, component_id) for each row of docs; root tells components apart that have no id."""
+    prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"), *more))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(components(_near(distinct.select("fp"))))
     joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = cut(joined.select("fp", "root").join(least, "root").select("fp", "component_id"))
+    by_print = cut(joined.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
     drop_cut(roots)
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(by_print, "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the near-duplicates: of each group the row with the smallest id stays, with all its columns.
+    """docs without the near-duplicates: of each group exactly one row stays, with all its columns.
 
-    Rows that repeat the smallest id count as one document and stay together, as do rows with null ids only.
+    It is the row with the smallest id (null ids come last), of equal ids that with the smallest hash of its text; of rows that repeat
+    id and text any one. Other rows that have its id stay or go by their own groups.
     """
-    groups = simhash_groups(docs, id_col, text_col)
-    dropped = cut(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__dropped")).distinct())
-    return docs.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col("__dropped")), "left_anti")
+    keys = cut(_grouped(docs, id_col, text_col, [F.xxhash64(text_col).alias("hash")]).groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("times")))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
+    first = cut(keys.groupBy("root").agg(F.min(place).alias("at")).select(F.col("root").alias("r"), F.col("at.doc_id").alias("d"), F.col("at.hash").alias("h")))
+    stays = (F.col("root") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
+    named = [F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash")]
+    dropped = cut(keys.join(first, stays, "left_anti").select(*named))
+    repeated = cut(keys.where("times > 1").join(first, stays, "left_semi").select(*named))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
+    kept = docs.join(dropped, same, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    once = kept.join(repeated, same).dropDuplicates(["__doc", "__hash"]).select(*docs.columns)
+    return kept.join(repeated, same, "left_anti").union(once)

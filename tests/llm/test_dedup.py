@@ -163,3 +163,12 @@ def test_a_changed_word_keeps_the_rest_aligned():
     for changed in (words[:40] + words[41:], [*words[:40], "new", *words[40:]]):
         both = {r[0] for r in substring_dedup.runs(" ".join(words))} & {r[0] for r in substring_dedup.runs(" ".join(changed))}
         assert len(both) > 0.8 * len(substring_dedup.runs(" ".join(words)))
+
+
+def test_keep_one_decides_by_row(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(5))
+    rows = [(3, a), (7, a), (7, b), (None, a), (None, c), (None, d), (None, d), (9, e), (9, e), (None, None)]
+    kept = simhash_dedup.keep_one(spark.createDataFrame([(i, t, "", "", 1) for i, t in rows], DOCS))
+    want = [(3, a), (7, b), (None, c), (None, d), (9, e), (None, None)]
+    assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, want))

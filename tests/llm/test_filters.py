@@ -48,6 +48,14 @@ def test_decontamination(spark, monkeypatch, block):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 9]
 
 
+def test_drop_contaminated_judges_null_ids_by_row(spark):
+    item = "one two three four five six seven eight nine ten eleven"
+    bench = spark.createDataFrame([("i", item)], "item_id string, text string")
+    rows = [(None, f"so {item} on"), (None, "clean"), (None, "clean too"), (None, None), (4, "clean as well"), (5, item)]
+    kept = decontaminate.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert sorted(str(tuple(r)) for r in kept.collect()) == sorted(map(str, [rows[1], rows[2], rows[3], rows[4]]))
+
+
 def brute_verdict(url):
     host, path = "", ""
     if url and "://" in url:
