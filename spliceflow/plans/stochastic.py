@@ -102,7 +102,7 @@ def graph_paths(spark, sf_dir):
 
 @query("edge_bootstrap")
 def edge_bootstrap(spark, sf_dir):
-    out = graph.decompose(_edges(spark, sf_dir), most=20, resamples=20)
+    out = graph.decompose(_edges(spark, sf_dir), resamples=20)
     return out.select("locus", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "weight", "low", "high", "presence")
 
 

@@ -206,3 +206,13 @@ def test_stream_equals_batch(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sum(r["count"] for r in spark.sql("select * from windows").collect()) == 200
+
+
+def test_decompose_sees_every_path_of_a_locus(spark):
+    """81 paths of equal bottleneck through four places of three variants: with only the first 50 the later variants get no weight."""
+    from spliceflow.operators import graph
+
+    edges = [(1, 10 * k + a, 10 * k + 10 * d + b, 10.0) for k in range(1, 5) for a, b, d in [(0, v, 0) for v in (1, 2, 3)] + [(v, 0, 1) for v in (1, 2, 3)]]
+    table = spark.createDataFrame(edges, "locus long, a int, b int, weight double")
+    psi = {r.node: r.psi for r in graph.exon_inclusion(graph.decompose(table, min_share=0.0)).collect()}
+    assert all(abs(psi.get(10 * k + v, 0) - 1 / 3) < 1e-6 for k in range(1, 5) for v in (1, 2, 3))
