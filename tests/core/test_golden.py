@@ -216,3 +216,16 @@ def test_decompose_sees_every_path_of_a_locus(spark):
     table = spark.createDataFrame(edges, "locus long, a int, b int, weight double")
     psi = {r.node: r.psi for r in graph.exon_inclusion(graph.decompose(table, min_share=0.0)).collect()}
     assert all(abs(psi.get(10 * k + v, 0) - 1 / 3) < 1e-6 for k in range(1, 5) for v in (1, 2, 3))
+
+
+def test_merge_nearby_reads_all_intervals(spark):
+    """The last cluster of each chromosome's intervals is near the last end of all of them."""
+    from conftest import DATA
+    from pyspark.sql import functions as F
+
+    from spliceflow.plans.domain import view
+    from spliceflow.plans.registry import QUERIES
+
+    kept = QUERIES["merge_nearby"](spark, DATA).groupBy("locus").agg(F.max("je").alias("je")).collect()
+    ends = {r.chrom: r.e for r in view(spark, DATA, "iv").groupBy("chrom").agg(F.max("e").alias("e")).collect()}
+    assert len(kept) == len(ends) and all(ends[r.locus] - r.je <= 20 for r in kept)
