@@ -181,7 +181,8 @@ def _best_fit(bins: list, rest: list[tuple[int, int]], given: dict[int, int], ca
             each = min(room // length, n)
             m = min(there, n // each)
             if m < there:
-                by_room[room].append((there - m, slots))
+                # The sequences that stay behind hold the later ranks.
+                by_room[room].append((there - m, [(held, first + m) for held, first in slots]))
             first = given.get(length, 0)
             by_room[room - each * length].append((m, slots + [(length, first + i * m) for i in range(each)]))
             given[length] = first + each * m

@@ -15,9 +15,7 @@ def tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @settings(max_examples=200, deadline=None)
@@ -79,6 +77,38 @@ def test_packing_round_trip(spark):
     assert packing.sequences(packing.pack_documents(spark.createDataFrame(docs, DOCS))).count() == len(places)
 
 
+def test_special_tokens_are_those_of_the_tokenizer_file():
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  \n y", "<|endoftext| >"):
+        assert np.frombuffer(encoder().ids(text), dtype="<u4").tolist() == tokenizer().encode(text, add_special_tokens=False).ids
+
+
+def test_every_place_of_the_registered_query(spark):
+    """All pieces of all documents of sf0.01, and all sequences: no gap, no overlap, none over the capacity, near the lower bound."""
+    import duckdb
+
+    from spliceflow.llm import queries
+
+    sf_dir = "/root/testdata/sf0.01"
+    tok, want = tokenizer(), []
+    texts = duckdb.connect().execute(f"SELECT doc_id, coalesce(text, '') FROM '{sf_dir}/documents.parquet'").fetchall()
+    for (doc_id, _), made in zip(texts, tok.encode_batch([t for _, t in texts], add_special_tokens=False), strict=True):
+        ids = [*made.ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        want += [(doc_id, k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    rows = queries.op2(spark, sf_dir).collect()
+    assert sorted(tuple(r)[:5] for r in rows) == sorted(want)
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for slots in sequences.values():
+        at = 0
+        for offset, length in sorted(slots):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(sequences) <= -(-sum(r.length for r in rows) // 2048) + 3
+
+
 def test_packing_nothing(spark):
     assert packing.pack_documents(spark.createDataFrame([], DOCS)).collect() == []
 
