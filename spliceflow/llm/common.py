@@ -25,6 +25,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores in front as keep it apart from the columns of df."""
+    held = {c.lower() for c in df.columns}
+    return [next(made for k in range(len(held) + 1) if (made := "_" * k + name).lower() not in held) for name in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share. Only a one-machine session may go without the setting; it gets a folder of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,9 +1,13 @@
+import hashlib
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from spliceflow.llm import common, embedding_dedup, simhash_dedup, substring_dedup
 
@@ -95,24 +99,79 @@ def test_embedding_groups(spark, monkeypatch):
     assert embedding_dedup.embedding_groups(table.limit(0)).count() == 0
 
 
-def brute_repeats(rows):
+def plain_sentences(text):
+    """(start, end, words) in bytes, by the docstring's rule and word by word."""
+    raw = (text or "").encode()
+    found = [(m.start(), m.end(), m.group()) for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", raw)]
+    whole, now = [], []
+    for k, (_, end, word) in enumerate(found):
+        now.append(k)
+        core = word
+        for _ in range(2):
+            if len(core) > 1 and core[-1:] in b"\"')]":
+                core = core[:-1]
+        after = raw[end : found[k + 1][0]] if k + 1 < len(found) else b"\n"
+        if core[-1:] in b".!?" or core.decode("utf-8", "replace")[-1:] in "。！？" or b"\n" in after or b"\r" in after:
+            whole.append(now)
+            now = []
+    out = []
+    for own in whole:
+        h = [xxhash.xxh32_intdigest(found[k][2]) for k in own]
+        cuts = {0, len(own)}
+        if len(own) > 12:
+            cuts |= {i for i in range(2, len(own) - 2) if h[i] < min(h[i - 2 : i]) and h[i] <= min(h[i + 1 : i + 3])}
+        at = sorted(cuts)
+        at = sorted(cuts | {x for a, b in itertools.pairwise(at) for x in range(a, b, 20)})
+        out += [[found[own[i]] for i in range(a, b)] for a, b in itertools.pairwise(at)]
+    starts = [piece[0][0] for piece in out] + [len(raw)]
+    return [(a, b, [w for *_, w in piece]) for a, b, piece in zip(starts, starts[1:], out, strict=False)]
+
+
+def plain_runs(text):
+    """(words of the run, first sentence, number of sentences)."""
+    cuts, out = [w for *_, w in plain_sentences(text)], []
+    for i in range(len(cuts)):
+        for j in range(i + 2, len(cuts) + 1):
+            n = sum(map(len, cuts[i:j]))
+            if (j - i >= 3 and n >= 16) or n >= 20:
+                out.append((b" ".join(itertools.chain(*cuts[i:j])), i, j - i))
+                break
+    return out
+
+
+def plain_repeats(rows):
+    """Row number -> sentences to remove; the first occurrence by id (null last) and place stays."""
     first, gone = {}, {}
-    for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
-        for digest, at, n in substring_dedup.runs(rows[k][1] or ""):
-            if first.setdefault(digest, (k, at)) != (k, at):
+    for k in sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0)):
+        for run, at, n in plain_runs(rows[k][1]):
+            if first.setdefault(run, (k, at)) != (k, at):
                 gone.setdefault(k, set()).update(range(at, at + n))
     return gone
 
 
-def test_sentences_tile_the_text():
-    text = "  One two. Three!\nFour five six " + "w " * 45 + "end.\n\n\nLast"
-    cuts = substring_dedup.sentences(text)
-    assert "".join(text[a:b] for a, b, _ in cuts) == text.lstrip()
-    assert max(n for *_, n in cuts) == substring_dedup.MAX_WORDS
-    assert substring_dedup.sentences(None) == substring_dedup.sentences(" \n") == []
+def plain_removal(text, gone):
+    cuts, raw = plain_sentences(text), text.encode()
+    return (raw[: cuts[0][0]] + b"".join(raw[a:b] for k, (a, b, _) in enumerate(cuts) if k not in gone)).decode()
 
 
-def test_substring_dedup(spark):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb.", "Cc", "d!", "(ee.)", "\"f?\"", "é", "雨。", "\n", "\r\n", "  ", "\u00a0x", "gg", "hh", "ii", "jj", "kk", "ll", "mm", "nn", ".", "\t"]), max_size=120), st.integers(1, 5))
+def test_sentences_and_runs_follow_the_rule(parts, copies):
+    text = " ".join(parts)
+    texts = ["lead " * copies, text, "", text + " tail"]
+    cuts = substring_dedup.sentences([t.encode() for t in texts])
+    for k, t in enumerate(texts):
+        starts, words = cuts.of(k)
+        assert [(a, n) for a, n in zip(starts.tolist(), words.tolist(), strict=True)] == [(a, len(w)) for a, _, w in plain_sentences(t)]
+    doc, digest, first, n = substring_dedup.runs([t.encode() for t in texts])
+    want = [(k, xxhash.xxh3_128_digest(r), i, m) for k, t in enumerate(texts) for r, i, m in plain_runs(t)]
+    assert list(zip(doc.tolist(), (d.tobytes() for d in digest), first.tolist(), n.tolist(), strict=True)) == want
+
+
+@pytest.mark.parametrize("chunk", [32 << 20, 500])
+def test_substring_dedup(spark, monkeypatch, chunk):
+    """A small chunk sends almost all runs to the global comparison."""
+    monkeypatch.setattr(substring_dedup, "CHUNK_BYTES", chunk)
     rng = random.Random(9)
     words = [f"w{k}" for k in range(5000)]
     sentence = lambda: " ".join(rng.choices(words, k=rng.randrange(3, 14))).capitalize() + ". "
@@ -121,23 +180,39 @@ def test_substring_dedup(spark):
     for k in range(40):
         text = "".join(sentence() for _ in range(6)) + (shared[k % 5] if k % 5 < 4 else "") + "".join(sentence() for _ in range(4))
         rows.append((k, text, "f", "r", 1))
-    rows += [(50, rows[0][1], "", "", 1), (51, rows[0][1] + rows[0][1], "", "", 1), (52, None, "", "", 1), (53, "", "", "", 1), (54, "Short one.", "", "", 1), (55, "Short one.", "", "", 1)]
-    docs = spark.createDataFrame(rows, DOCS)
-    gone = brute_repeats(rows)
-    cleaned = {r.doc_id: r.text for r in substring_dedup.remove_repeats(docs).collect()}
+    rows += [(50, rows[0][1], "", "", 1), (51, rows[0][1] + rows[0][1], "", "", 1), (52, None, "", "", 1), (53, "", "", "", 1), (54, "Short one.", "", "", 1), (55, "Short one.", "", "", 1), (56, " \n ", "", "", 1), (57, "x " * 30_000 + rows[0][1], "", "", 1)]
+    rows = [(*r, "c", "c") for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first string, root string, n int, __spans string, high string")
+    gone = plain_repeats(rows)
+    out = substring_dedup.remove_repeats(docs, length_col="n")
+    assert out.columns == docs.columns
+    cleaned = {r.doc_id: r.text for r in out.collect()}
     for k, (doc_id, text, *_) in enumerate(rows):
-        want = text and "".join(text[a:b] for j, (a, b, _) in enumerate(substring_dedup.sentences(text)) if j not in gone.get(k, ()))
-        assert cleaned[doc_id] == want
+        assert cleaned[doc_id] == (plain_removal(text, gone[k]) if k in gone else text)
     assert cleaned[50] == "" and cleaned[54] == cleaned[55] == "Short one."
-    for k in range(40):
-        if 5 <= k and k % 5 < 4:
+    for k in range(5, 40):
+        if k % 5 < 4:
             assert len(set(shared[k % 5].split()) & set(cleaned[k].split())) < 16
     report = {r.doc_id: r for r in substring_dedup.repeats_report(docs).collect()}
-    assert report[50].n_removed == report[50].n_sentences and report[52].n_sentences == 0
-    assert {r.doc_id for r in report.values() if r.n_removed} == {rows[k][0] for k in gone}
-    assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
-    odd = [(None, rows[0][1], "", "", 1), (7, rows[0][1], "", "", 1), (7, rows[0][1], "", "", 1), (7, "Other text.", "", "", 1)]
-    assert [r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(odd, DOCS)).orderBy("doc_id", "text").collect()] == ["", "Other text.", rows[0][1], rows[0][1]]
+    for k, (doc_id, text, *_) in enumerate(rows):
+        cuts, r = plain_sentences(text), report[doc_id]
+        assert (r.n_sentences, r.n_words, r.n_removed, r.n_removed_words) == (len(cuts), sum(len(w) for *_, w in cuts), len(gone.get(k, ())), sum(len(cuts[i][2]) for i in gone.get(k, ())))
+        assert r.clean_sha256 == hashlib.sha256((cleaned[doc_id] or "").encode()).hexdigest()
+    assert substring_dedup.remove_repeats(docs.limit(0)).count() == substring_dedup.repeats_report(docs.limit(0)).count() == 0
+    odd = [(None, rows[0][1], "", "", 1), (7, rows[0][1], "", "", 1), (7, rows[0][1], "", "", 1), (7, "Other text.", "", "", 1), (None, None, "", "", 1), (None, "Mine.", "", "", 1)]
+    assert [r.text for r in substring_dedup.remove_repeats(spark.createDataFrame(odd, DOCS)).orderBy("doc_id", "text").collect()] == [None, "", "Mine.", "Other text.", rows[0][1], rows[0][1]]
+
+
+def test_registered_repeats_against_plain_reading(spark):
+    """All documents of sf0.001, each sentence of each text."""
+    import duckdb
+
+    from spliceflow.llm import queries
+
+    rows = duckdb.connect().execute("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()
+    gone = plain_repeats(rows)
+    want = {doc_id: hashlib.sha256((plain_removal(text, gone[k]) if k in gone else text or "").encode()).hexdigest() for k, (doc_id, text) in enumerate(rows)}
+    assert gone and {r.doc_id: r.clean_sha256 for r in queries.op9(spark, "/root/testdata/sf0.001").collect()} == want
 
 
 @pytest.mark.parametrize("n_words", [51, 55, 59, 60, 80, 200])
@@ -160,9 +235,9 @@ def test_passages_without_stops_at_any_place(spark, n_words):
 def test_a_changed_word_keeps_the_rest_aligned():
     rng = random.Random(4)
     words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+    of = lambda w: {d.tobytes() for d in substring_dedup.runs([" ".join(w).encode()])[1]}
     for changed in (words[:40] + words[41:], [*words[:40], "new", *words[40:]]):
-        both = {r[0] for r in substring_dedup.runs(" ".join(words))} & {r[0] for r in substring_dedup.runs(" ".join(changed))}
-        assert len(both) > 0.8 * len(substring_dedup.runs(" ".join(words)))
+        assert len(of(words) & of(changed)) > 0.8 * len(of(words))
 
 
 def test_keep_one_decides_by_row(spark):

@@ -191,7 +191,9 @@ def test_toxicity_of_odd_rows(spark):
 
 def test_pipeline(spark):
     """Each stage against a plain reading of what it kept; the last by its round trip."""
-    from spliceflow.llm import packing, simhash_dedup, substring_dedup
+    from test_dedup import plain_removal, plain_repeats
+
+    from spliceflow.llm import packing, simhash_dedup
     from spliceflow.llm.common import cut, read
 
     sf_dir = "/root/testdata/sf0.001"
@@ -209,14 +211,10 @@ def test_pipeline(spark):
     groups = {r.component_id for r in simhash_dedup.simhash_groups(before).collect()}
     assert {r.doc_id for r in after.select("doc_id").collect()} == groups
     before, after = kept["substring_dedup"]
-    seen, want = set(), {}
-    for r in before.orderBy("doc_id").collect():
-        gone = set()
-        for digest, at, n in substring_dedup.runs(r.text):
-            gone |= set(range(at, at + n)) if digest in seen else set()
-            seen.add(digest)
-        want[r.doc_id] = "".join(r.text[a:b] for k, (a, b, _) in enumerate(substring_dedup.sentences(r.text)) if k not in gone)
-    assert {r.doc_id: r.text for r in after.collect()} == want and all(r.n_chars == len(r.text) for r in after.collect())
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    gone = plain_repeats(rows)
+    assert {r.doc_id: r.text for r in after.collect()} == {d: plain_removal(t, gone[k]) if k in gone else t for k, (d, t) in enumerate(rows)}
+    assert all(r.n_chars == len(r.text) for r in after.collect())
     before, after = kept["decontamination"]
     items = [(r.item_id, r.text) for r in read(spark, sf_dir, "benchmark").collect()]
     judged = brute_decontamination([(r.doc_id, r.text) for r in before.collect()], items)
