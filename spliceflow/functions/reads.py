@@ -22,15 +22,16 @@ def reference_length(cigar: Column) -> Column:
     return F.aggregate(F.filter(cigar, lambda c: _advances(c["op"])), F.lit(0).cast("long"), lambda a, c: a + c["len"])
 
 
-def _placed(cigar: Column, start: Column) -> Column:
-    """array<struct<op, s, e>>: each reference-advancing operation with its place."""
-    ops = F.filter(cigar, lambda c: _advances(c["op"]))
-    return F.transform(ops, lambda c, i: F.struct(c["op"].alias("op"), (start + F.aggregate(F.slice(ops, 1, i), F.lit(0).cast("long"), lambda a, x: a + x["len"])).alias("s"), (start + F.aggregate(F.slice(ops, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + x["len"])).alias("e")))
+def junctions(cigar: Column, start: Column) -> Column:
+    """array<struct<s, e>> of the skipped stretches, in one pass over the operations."""
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
 
+    def step(a: Column, c: Column) -> Column:
+        after = a["at"] + F.when(_advances(c["op"]), c["len"].cast("long")).otherwise(F.lit(0).cast("long"))
+        skip = F.struct(a["at"].alias("s"), after.alias("e"))
+        return F.struct(after.alias("at"), F.when(c["op"] == SKIP, F.array_append(a["js"], skip)).otherwise(a["js"]).alias("js"))
 
-def junctions(cigar: Column, start: Column) -> Column:
-    """array<struct<s, e>> of the skipped stretches."""
-    return F.transform(F.filter(_placed(cigar, start), lambda p: p["op"] == SKIP), lambda p: F.struct(p["s"].alias("s"), p["e"].alias("e")))
+    return F.aggregate(cigar, F.struct(start.cast("long").alias("at"), none.alias("js")), step, lambda a: a["js"])
 
 
 def blocks(cigar: Column, start: Column) -> Column:
@@ -66,10 +67,17 @@ def strand_of_motif(donor: Column, acceptor: Column) -> Column:
     return F.when(plus, "+").when(minus, "-").otherwise(".")
 
 
+def pieces(seq: Column, overlap: int, size: int = 4096) -> Column:
+    """seq as binary strings of `size` bytes and `overlap` more that the next begins with: a long sequence never is one array of k-mers."""
+    raw = seq.cast("binary")
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - overlap, F.lit(1)), F.lit(size)), lambda i: F.substring(raw, i, F.lit(size + overlap)))
+
+
 def kmers(seq: Column, k: int) -> Column:
-    """The k-mers of ACGT only, in order of place."""
-    all_ = F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.substring(seq, i, F.lit(k)))
-    return F.when(F.length(seq) >= k, F.filter(all_, lambda x: ~x.rlike("[^ACGT]"))).otherwise(F.array().cast("array<string>"))
+    """The k-mers of ACGT only, in order of place, of a string or of its bytes."""
+    raw = seq.cast("binary")
+    all_ = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - k + 1, F.lit(1))), lambda i: F.substring(raw, i, F.lit(k)).cast("string"))
+    return F.filter(all_, lambda x: (F.octet_length(x) == k) & ~x.rlike("[^ACGT]"))
 
 
 def canonical(kmer: Column) -> Column:
@@ -78,11 +86,10 @@ def canonical(kmer: Column) -> Column:
 
 def mean_quality(quality: Column) -> Column:
     """Mean Phred+33 quality; null for an empty string."""
-    scores = F.transform(F.filter(F.split(quality, ""), lambda x: x != ""), lambda x: F.ascii(x) - 33)
-    return F.when(F.length(quality) > 0, F.aggregate(scores, F.lit(0), lambda a, x: a + x) / F.length(quality))
+    total = F.aggregate(F.split(quality, ""), F.lit(0).cast("long"), lambda a, x: a + F.when(x != "", F.ascii(x) - 33).otherwise(0))
+    return F.when(F.length(quality) > 0, total / F.length(quality))
 
 
 def trimmed_length(quality: Column, threshold: int) -> Column:
     """Length left when bases below the threshold are taken off the end."""
-    low = "".join("\\" + chr(c) if not chr(c).isalnum() else chr(c) for c in range(33, 33 + threshold))
-    return F.length(F.regexp_replace(quality, f"[{low}]+$", ""))
+    return F.length(F.rtrim(quality, F.lit("".join(map(chr, range(33, 33 + threshold))))))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spliceflow.operators.intervals import islands, overlap_join
+
 
 def calibration_factor(rows: DataFrame, keys: list[str], factor: str, target: float) -> DataFrame:
     """keys, n, factor: the order statistic at ceil(target * n) of the required factors, at least 1."""
@@ -43,9 +45,14 @@ def merge_evidence(rows: DataFrame, keys: list[str], evidence: str) -> DataFrame
 def merge_nearby(junctions: DataFrame, distance: int = 20) -> DataFrame:
     """junctions(locus, js, je, count) without those near a better one.
 
-    Acceptors within `distance` of the first of their cluster stand together, then donors within it likewise; the best of each stays.
-    Clusters hang on their first member, so a locus is read in order, as one group.
+    Acceptors within `distance` of the first of their cluster stand together, then donors within it likewise; the best of each stays (of
+    equals that with the least donor, then acceptor). A cluster can't reach over a gap of more than `distance` between neighbouring
+    acceptors, so what is read in order are the stretches between such gaps, not whole loci; neighbouring ones share a group.
     """
+    rows = junctions.select("locus", "js", "je", "count")
+    stretches = islands(rows.select("locus", "je").distinct().select("locus", F.col("je").alias("s"), F.col("je").alias("e")), ["locus"], distance)
+    stretches = stretches.withColumn("island", F.floor(F.col("island") / 50_000))
+    rows = overlap_join(rows.withColumns({"s": F.col("je"), "e": F.col("je") + 1}), stretches.select("locus", "island", F.col("s").alias("rs"), (F.col("e") + 1).alias("re")), ["locus"])
 
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["je", "js"], kind="stable").reset_index(drop=True)
@@ -65,7 +72,7 @@ def merge_nearby(junctions: DataFrame, distance: int = 20) -> DataFrame:
         best = rows.groupby(["c", "d"])["count"].idxmax()
         return rows.loc[sorted(best), ["locus", "js", "je", "count"]]
 
-    return junctions.select("locus", "js", "je", "count").groupBy("locus").applyInPandas(pick, "locus long, js long, je long, count long")
+    return rows.select("locus", "island", "js", "je", "count").groupBy("locus", "island").applyInPandas(pick, "locus long, js long, je long, count long")
 
 
 def event_table(rows: DataFrame, types: list[str], low: float, high: float, min_reads: int, gene: str) -> DataFrame:

@@ -2,23 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Width of the bins that give range joins an equality key. About the length of a usual interval.
 BIN = 1_000
+#: Width of the stretches that scans along a chromosome are cut into; what one hands to the next is a row of a small table.
+SCAN = 100_000
+
+
+def _carried(rows: DataFrame, keys: list[str], **sums: tuple[Column, Column]) -> DataFrame:
+    """rows(keys, __bin, ...) with a column for each name: the first expression aggregates each bin to it, the second is taken over the
+    bins of a key in order. Bins are few, so that table is small."""
+    per = rows.groupBy(*keys, "__bin").agg(*(made.alias(name) for name, (made, _) in sums.items()))
+    handed = per.select(*keys, "__bin", *(over.alias(name) for name, (_, over) in sums.items()))
+    return rows.join(handed, [*keys, "__bin"])
+
+
+def _bins_before(keys: list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
 
 
 def islands(rows: DataFrame, keys: list[str], gap: int = 0, s: str = "s", e: str = "e") -> DataFrame:
     """keys, island, s, e, n: intervals merged where the next begins at most `gap` behind the furthest end so far (touching ones merge).
 
-    One sort by key and start. A key is one group here: keys are chromosomes or loci.
+    island is the start. A key (chromosome, locus) isn't gathered: equal starts are combined first, stretches of SCAN bases are scanned
+    each by itself, and the furthest end and the last island's start are handed from one to the next. Keys aren't null.
     """
-    order = Window.partitionBy(*keys).orderBy(s, e)
-    before = F.max(e).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("__new", F.when(before.isNull() | (F.col(s) > before + gap), 1).otherwise(0))
-    numbered = marked.withColumn("island", F.sum("__new").over(order))
-    return numbered.groupBy(*keys, "island").agg(F.min(s).alias("s"), F.max(e).alias("e"), F.count(F.lit(1)).alias("n"))
+    starts = rows.groupBy(*keys, F.col(s).alias("s")).agg(F.max(e).alias("e"), F.count(F.lit(1)).alias("n")).withColumn("__bin", F.floor(F.col("s") / SCAN))
+    known = _carried(starts, keys, __before=(F.max("e"), F.max("__before").over(_bins_before(keys))))
+    order = Window.partitionBy(*keys, "__bin").orderBy("s")
+    before = F.greatest("__before", F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = known.withColumn("__new", F.when(before.isNull() | (F.col("s") > before + gap), F.col("s"))).withColumn("__own", F.max("__new").over(order))
+    parts = marked.groupBy(*keys, "__bin", "__own").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n"))
+    # What a stretch begins with, up to its first new island, belongs to the last island before it.
+    parts = _carried(parts, keys, __last=(F.max("__own"), F.max("__last").over(_bins_before(keys))))
+    return parts.groupBy(*keys, F.coalesce("__own", "__last").alias("island")).agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("n").alias("n"))
 
 
 def gaps(merged: DataFrame, keys: list[str]) -> DataFrame:
@@ -42,10 +61,15 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int
 
 
 def depth(rows: DataFrame, keys: list[str], s: str = "s", e: str = "e") -> DataFrame:
-    """keys, s, e, depth: runs of equal depth above zero, from the sum of +1 and -1 steps; no row for each base."""
+    """keys, s, e, depth: runs of equal depth above zero, from the sum of +1 and -1 steps; no row for each base.
+
+    Steps at one place are combined first, stretches of SCAN bases are scanned each by itself, and the depth goes from one to the next.
+    """
     steps = rows.select(*keys, F.explode(F.array(F.struct(F.col(s).alias("at"), F.lit(1).alias("d")), F.struct(F.col(e).alias("at"), F.lit(-1).alias("d")))).alias("x")).groupBy(*keys, "x.at").agg(F.sum("x.d").alias("d"))
-    order = Window.partitionBy(*keys).orderBy("at")
-    runs = steps.withColumns({"depth": F.sum("d").over(order), "e": F.lead("at").over(order)})
+    bins = steps.withColumn("__bin", F.floor(F.col("at") / SCAN))
+    known = _carried(bins, keys, __depth=(F.sum("d"), F.sum("__depth").over(_bins_before(keys))), __next=(F.min("at"), F.lead("__next").over(Window.partitionBy(*keys).orderBy("__bin"))))
+    order = Window.partitionBy(*keys, "__bin").orderBy("at")
+    runs = known.withColumns({"depth": F.coalesce("__depth", F.lit(0)) + F.sum("d").over(order), "e": F.coalesce(F.lead("at").over(order), "__next")})
     return runs.where("depth > 0").select(*keys, F.col("at").alias("s"), "e", "depth")
 
 

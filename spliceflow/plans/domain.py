@@ -34,9 +34,9 @@ VIEWS: dict[str, str] = {
                cast(o_custkey % 400 as double) AS support,
                CASE o_orderkey % 5 WHEN 0 THEN 'SE' WHEN 1 THEN 'A3SS' WHEN 2 THEN 'A5SS' WHEN 3 THEN 'MXE' ELSE 'RI' END AS event_type
         FROM {orders}""",
-    # Genomic intervals, half open.
+    # Genomic intervals, half open: clusters on five chromosomes, as dense whatever the number of orders.
     "iv": """
-        SELECT o_orderkey AS id, cast(o_custkey % 5 as int) AS chrom, o_orderkey * 7 % 100000 AS s, o_orderkey * 7 % 100000 + 1 + o_custkey % 200 AS e FROM {orders}""",
+        SELECT o_orderkey AS id, cast(o_custkey % 5 as int) AS chrom, o_orderkey * 7 + (o_orderkey div 64) * 4000 AS s, o_orderkey * 7 + (o_orderkey div 64) * 4000 + 1 + o_custkey % 200 AS e FROM {orders}""",
     # Exons of transcripts, at most one row for each order and line number.
     "exons": """
         SELECT concat('T', cast(o as string)) AS transcript_id, concat('G', cast(o div 32 as string)) AS gene_id, 'chr1' AS chrom,
@@ -48,12 +48,12 @@ VIEWS: dict[str, str] = {
         WHERE p % 5 <> 0 AND NOT coalesce(before % 7 = 0 AND ln_before = ln - 1, false)""",
     # Aligned reads as alternating match and skip lengths.
     "reads": """
-        SELECT event_id AS id, cast(user_id % 5 as int) AS chrom, event_id * 11 % 50000 AS s, cast(event_id % 60 as int) AS mapq, cast((user_id % 3) * 16 + (event_id % 2) * 256 as int) AS flag,
+        SELECT event_id AS id, cast(user_id % 5 as int) AS chrom, event_id * 7 + (event_id div 64) * 4000 AS s, cast(event_id % 60 as int) AS mapq, cast((user_id % 3) * 16 + (event_id % 2) * 256 as int) AS flag,
                20 + event_id % 30 AS m1, 60 + user_id % 90 AS n1, 5 + event_id % 41 AS m2, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 80 + user_id % 50 END AS n2, 10 + user_id % 25 AS m3
         FROM {events}""",
-    # Nucleotide sequences from the documents.
+    # Nucleotide sequences from the whole texts of the documents.
     "dna": """
-        SELECT doc_id AS id, substring(translate(lower(text), 'etaoinshrdlucmfwypvbgkjqxz .,' , 'ACGTACGTACGTACGTACGTACGTAC'), 1, 400) AS seq FROM {documents}""",
+        SELECT doc_id AS id, translate(lower(text), 'etaoinshrdlucmfwypvbgkjqxz .,' , 'ACGTACGTACGTACGTACGTACGTAC') AS seq FROM {documents}""",
     # Scores with two-class labels.
     "scored": """
         SELECT l.doc_id AS id, cast(l.quality as int) AS label, cast(d.n_chars % 1000 as double) / 1000 + cast(l.quality as double) / 4 AS score, d.source AS grp

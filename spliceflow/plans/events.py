@@ -106,8 +106,8 @@ def denovo_se(spark, sf_dir):
     return E.de_novo_skips(_junctions(spark, sf_dir)).select("js", "s", "e", "je")
 
 
-@query("intron_body_reads", _X + ", r AS (SELECT l_orderkey * 13 % 8000 AS rs, l_orderkey * 13 % 8000 + 40 + l_partkey % 900 AS re, l_suppkey % 3 = 0 AS spliced FROM lineitem WHERE l_linenumber = 1), i AS (SELECT DISTINCT js AS s, je AS e FROM intr) SELECT s, e, count(rs) AS body FROM i LEFT JOIN r ON NOT spliced AND rs < e AND re > s AND ((rs <= s + 10 AND re >= e - 10) OR (rs >= s AND re <= e AND re - rs > 50)) GROUP BY s, e")
+@query("intron_body_reads", _X + ", r AS (SELECT concat('G', CAST(l_orderkey // 32 AS VARCHAR)) AS gene_id, l_orderkey * 13 % 8000 AS rs, l_orderkey * 13 % 8000 + 40 + l_partkey % 900 AS re, l_suppkey % 3 = 0 AS spliced FROM lineitem), i AS (SELECT DISTINCT gene_id, js AS s, je AS e FROM intr) SELECT i.gene_id, s, e, count(rs) AS body FROM i LEFT JOIN r ON i.gene_id = r.gene_id AND NOT spliced AND rs < e AND re > s AND ((rs <= s + 10 AND re >= e - 10) OR (rs >= s AND re <= e AND re - rs > 50)) GROUP BY i.gene_id, s, e")
 def intron_body_reads(spark, sf_dir):
-    reads = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 1").selectExpr("'chr1' AS chrom", "l_orderkey * 13 % 8000 AS rs", "l_orderkey * 13 % 8000 + 40 + l_partkey % 900 AS re", "l_suppkey % 3 = 0 AS spliced")
-    spans = E.introns(_near(spark, sf_dir)).select("chrom", F.col("js").alias("s"), F.col("je").alias("e")).distinct()
-    return E.body_reads(spans, reads, ["chrom"]).select("s", "e", "body")
+    reads = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("concat('G', cast(l_orderkey div 32 as string)) AS gene_id", "l_orderkey * 13 % 8000 AS rs", "l_orderkey * 13 % 8000 + 40 + l_partkey % 900 AS re", "l_suppkey % 3 = 0 AS spliced")
+    spans = E.introns(_near(spark, sf_dir)).select("gene_id", F.col("js").alias("s"), F.col("je").alias("e")).distinct()
+    return E.body_reads(spans, reads, ["gene_id"]).select("gene_id", "s", "e", "body")

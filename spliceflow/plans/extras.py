@@ -32,13 +32,14 @@ def boundary_contrast(spark, sf_dir):
     return intervals.boundary_contrast(bins, ["chrom"], "p", "n").select("chrom", "p", F.round("contrast", 8).alias("contrast"))
 
 
-@query("loss_accounting", _IV + """, t AS (SELECT * FROM iv WHERE id % 20 = 3), l AS (SELECT chrom, s AS rs, e AS re FROM iv WHERE id % 20 = 4)
-SELECT id, CASE WHEN id % 60 = 3 THEN 'found' WHEN EXISTS (SELECT 1 FROM l WHERE l.chrom = t.chrom AND s < re AND rs < e) THEN 'no_match' ELSE 'no_locus' END AS stage FROM t""")
+@query("loss_accounting", sql("iv", "reads") + """, l AS (SELECT chrom, s AS rs, s + m1 AS re FROM reads)
+SELECT id, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.chrom = t.chrom AND s < re AND rs < e AND least(e, re) - greatest(s, rs) >= 0.5 * (e - s)) THEN 'found' WHEN EXISTS (SELECT 1 FROM l WHERE l.chrom = t.chrom AND s < re AND rs < e) THEN 'no_match' ELSE 'no_locus' END AS stage FROM iv t""")
 def loss_accounting(spark, sf_dir):
-    rows = view(spark, sf_dir, "iv")
-    truth = rows.where("id % 20 = 3")
-    loci = rows.where("id % 20 = 4").select("chrom", F.col("s").alias("rs"), F.col("e").alias("re"))
-    return regions.lost_at(truth, loci, truth.where("id % 60 = 3"), ["chrom"], "id").select("id", "stage")
+    """All intervals are the truth, the reads' first blocks the loci; what one of them covers by half is found."""
+    truth = view(spark, sf_dir, "iv")
+    loci = view(spark, sf_dir, "reads").selectExpr("chrom", "s AS rs", "s + m1 AS re")
+    found = intervals.overlap_join(truth, loci, ["chrom"]).where("least(e, re) - greatest(s, rs) >= 0.5 * (e - s)").select("id").distinct()
+    return regions.lost_at(truth, loci, found, ["chrom"], "id").select("id", "stage")
 
 
 @query("conformal_p", sql("scored") + ", d AS (SELECT DISTINCT grp, score FROM scored) SELECT grp, score, round((1 + (SELECT count(*) FROM scored s WHERE s.grp = d.grp AND label = 0 AND s.score >= d.score)) / (1 + (SELECT count(*) FROM scored s WHERE s.grp = d.grp AND label = 0)), 9) AS p FROM d")
