@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -93,12 +94,38 @@ def test_embedding_groups(spark, monkeypatch):
     roots = reach(range(len(rows)), links)
     least = {r: min(rows[i][0] for i in roots if roots[i] == r) for r in set(roots.values())}
     want = sorted((rows[i][0], sum(i in p for p in links), least[roots[i]], rows[i][0] == least[roots[i]]) for i in range(len(rows)))
-    for tile in (1024, 4):
-        assert sorted(map(tuple, embedding_dedup.embedding_groups(table, tile=tile).collect())) == want
+    for block_bytes, tile in ((8 << 20, 1024), (1 << 10, 3)):
+        monkeypatch.setattr(embedding_dedup, "TILE", tile)
+        assert sorted(map(tuple, embedding_dedup.embedding_groups(table, block_bytes=block_bytes).collect())) == want
     assert len(links) > 40
     assert embedding_dedup.embedding_groups(table.limit(0)).count() == 0
 
 
+def test_embedding_groups_of_any_size(spark):
+    """Components from the smallest to the largest numbers; a cosine just below and just above the threshold; other lengths."""
+    turn = lambda c: [c, math.sqrt(1 - c * c)]
+    rows = [(1, [1e200, 0.0], 0), (2, [2e200, 0.0], 0), (3, [1e-200, 0.0], 0), (4, [5e-324, 0.0], 0), (5, [1.7e308, 1e300], 0), (6, [0.0, 1.0], 0), (7, [-1e200, 0.0], 0)]
+    rows += [(10, [1.0, 0.0], 1), (11, turn(0.93 + 1e-9), 1), (12, turn(0.93 - 1e-9)[:1] + [-turn(0.93 - 1e-9)[1]], 1), (13, [3.0], 1), (14, [5.0], 1), (15, [-5.0], 1), (16, [1.0] * 40, 1), (17, [1.1] * 39 + [1.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (4, 1), 6: (0, 6), 7: (0, 7), 10: (1, 10), 11: (1, 10), 12: (0, 12), 13: (1, 13), 14: (1, 13), 15: (0, 15), 16: (1, 16), 17: (1, 16)}
+
+
+def test_early_stops_lose_no_link():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 48)) * np.linspace(3, 0.2, 48)
+    x = np.concatenate([x, x[:300] + rng.normal(size=(300, 48)) * 0.4])
+    _, axes = np.linalg.eigh(x.T @ x)
+    for share in (0.0, 0.05, 1.1):
+        embedding_dedup.SPARSE = share
+        p, q = embedding_dedup._Turned(x[:700], axes[:, ::-1]), embedding_dedup._Turned(x[700:], axes[:, ::-1])
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        want = {tuple(r) for r in np.argwhere(unit[:700] @ unit[700:].T >= 0.9).tolist()}
+        assert want and set(zip(*(k.tolist() for k in embedding_dedup._links(p, q, 0.9)), strict=True)) == want
+        own = {(i, j) for i, j in np.argwhere(unit[:700] @ unit[:700].T >= 0.9).tolist() if i < j}
+        assert {(min(i, j), max(i, j)) for i, j in zip(*(k.tolist() for k in embedding_dedup._links(p, p, 0.9)), strict=True)} == own
+    embedding_dedup.SPARSE = 0.05
+
+
 def plain_sentences(text):
     """(start, end, words) in bytes, by the docstring's rule and word by word."""
     raw = (text or "").encode()
