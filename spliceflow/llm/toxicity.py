@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments over token log-odds.
 
-A word's tokens are its beginnings of a few lengths, so that inflected and compounded forms share what is learned of their stem.
-Training counts them in toxic and other labelled documents and turns them into log-odds with a Dirichlet prior, less two standard
-errors; a word scores as its longest known beginning, and one without a constant below zero such that a segment's expected score is
-negative. A text's toxic passages are its maximal-scoring segments (linear time), significant ones being those whose extreme-value
-(Karlin-Altschul) expectation in a text of that length is small. The least expectation, the number of significant passages and the
-sum of the scores are calibrated to a probability on the training rows.
+A word's tokens are its beginnings of a few lengths and the whole word, so that inflected and compounded forms share what is learned of
+their stem; scripts that don't part words give a token for each character. Training counts them in toxic and other labelled documents and
+turns them into log-odds with a Dirichlet prior, less two standard errors. A word scores as its best token, unless a longer one is known
+as clean; one without scores a constant below zero such that a segment's expected score is negative. A text's toxic passages are its
+maximal-scoring segments (linear time), significant ones being those whose extreme-value (Karlin-Altschul) expectation in a text of that
+length is small. The least expectation, the number of significant passages and the sum of the scores are calibrated to a probability on
+training rows that the counts haven't seen.
 """
 
 from __future__ import annotations
@@ -31,8 +32,6 @@ PRIOR_LEAST = 0.5
 MIN_Z = 2.0
 #: What must at least be left for a token to enter the model. Each of these is tried on the calibration rows.
 ODDS = (0.0, 0.7, 1.2, 1.7, 2.2)
-#: Size of the model: tokens kept, those with the largest scores. A bound on what is sent to the tasks.
-MODEL_TOKENS = 20_000
 #: Labelled rows used for fitting, at most about: a sample by hash where there are more. Their ids are sent to the tasks.
 TRAINING_ROWS = 200_000
 #: One in so many of them is kept from the counts and used for calibration.
@@ -40,23 +39,27 @@ CALIBRATION = 4
 #: Expected chance segments at which a passage still counts as significant.
 MAX_E = 0.05
 CUTOFF = 0.3
-#: Lengths of a word's beginnings; longer words have no token of their own.
-BEGINNINGS = range(3, 8)
-#: Toxic documents that a token must be in to be taken into the model as a sign of toxicity.
+#: Lengths of a word's beginnings: each up to 8, then farther apart, so that all of a word's tokens are at most a few times its length.
+BEGINNINGS = (3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 64, 128)
+#: Ends the token of a whole word; no word holds it.
+WHOLE = "$"
+#: Toxic documents that a token must be in to be taken into the model as a sign of toxicity, and documents for one of the opposite.
 MIN_DOCS = 5
 COUNTS = "token string, n0 long, n1 long, c0 long, c1 long"
 PASSAGES = "doc_id long, first_word long, end_word long, score double, expected double, words string"
-_WORD = re.compile(r"\w+")
+#: Thai to Burmese and Khmer, kana, Han and Hangul, which are read by the character.
+_UNPARTED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff"
+_WORD = re.compile(rf"[{_UNPARTED}]|[^\W{_UNPARTED}]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, digits and underscores, lower-cased."""
+    """Runs of letters, digits and underscores, lower-cased; single characters of scripts that don't part words."""
     return _WORD.findall(text.lower()) if isinstance(text, str) else []
 
 
 def tokens(word: str) -> list[str]:
-    """The beginnings of a word, shortest first; a shorter word is its own."""
-    return [word[:n] for n in BEGINNINGS if n <= len(word)] or [word]
+    """The beginnings of a word, shortest first, and the whole of it."""
+    return [*(word[:n] for n in BEGINNINGS if n < len(word)), word + WHOLE]
 
 
 def held_out(id_: Column) -> Column:
@@ -66,7 +69,7 @@ def held_out(id_: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Token scores, score of any other word, Karlin-Altschul lambda and K, calibration weights."""
+    """Token scores (0 for a token that is known as clean), score of any other word, Karlin-Altschul lambda and K, calibration weights."""
 
     scores: dict
     other: float
@@ -76,12 +79,15 @@ class Model:
     heads: frozenset = frozenset()
 
     def word_score(self, word: str) -> float | None:
-        """Of the longest known beginning."""
+        """The best of its tokens down from the longest; a clean one ends the search."""
+        best = None
         for token in reversed(tokens(word)):
             s = self.scores.get(token)
-            if s is not None:
-                return s
-        return None
+            if s == 0:
+                break
+            if s is not None and (best is None or s > best):
+                best = s
+        return best
 
     def segments(self, words: list[str]) -> list[tuple[int, int, float]]:
         """Every maximal-scoring segment (from, to, score), in order of place: linear in the number of words."""
@@ -112,19 +118,18 @@ class Model:
         return [(a, b, right - left) for left, right, a, b, _ in stack]
 
     def features(self, words: list[str]) -> tuple[float, float, float]:
-        """Minus log10 of the expectation of the best passage, number of significant passages, and their share of the text's score."""
+        """Minus log10 of the least expectation, number of significant passages and sum of all scores, each as log(1 + x)."""
         found = self.segments(words)
         if not found:
             return 0.0, 0.0, 0.0
-        n = len(words)
-        expected = [self.scale * n * np.exp(-self.rate * s) for _, _, s in found]
-        best = max(0.0, -np.log10(max(min(expected), 1e-300)))
-        good = [s for (_, _, s), e in zip(found, expected, strict=True) if e <= MAX_E]
-        return min(best, 30.0), np.log1p(len(good)), min(sum(s for _, _, s in found), 60.0)
+        chance = np.log(self.scale * len(words)) - self.rate * np.array([s for _, _, s in found])
+        good = int((chance <= np.log(MAX_E)).sum())
+        return float(np.log1p(max(0.0, -chance.min() / np.log(10)))), float(np.log1p(good)), float(np.log1p(sum(s for _, _, s in found)))
 
     def probability(self, words: list[str]) -> float:
         b, *w = self.weights
-        return float(1 / (1 + np.exp(-(b + sum(x * y for x, y in zip(w, self.features(words), strict=True))))))
+        x = b + sum(x * y for x, y in zip(w, self.features(words), strict=True))
+        return float(1 / (1 + np.exp(-x))) if x > -700 else 0.0
 
 
 def _karlin(values: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -178,30 +183,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def _models(counts: DataFrame, thresholds: tuple[float, ...]) -> list[Model]:
-    """A model for each least score, from counts(token, n0, n1) of documents."""
+    """A model for each least score, from counts(token, n0, n1) of documents. Their number of tokens is bounded by the training rows'."""
     counts = counts.where("token <> ''")
     sums = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
     t0, t1 = float(sums["n0"] or 0), float(sums["n1"] or 0)
     strength = min(PRIOR, PRIOR_SHARE * (t0 + t1))
     prior = F.lit(strength) * (F.col("n0") + F.col("n1")) / max(t0 + t1, 1.0) + PRIOR_LEAST
     odds = lambda n, total: F.log((n + prior) / (total + strength - n + 0.01))
-    delta = odds(F.col("n1"), t1) - odds(F.col("n0"), t0)
     error = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
-    scored = counts.select("token", "n0", (delta - MIN_Z * error).alias("score")).where((F.col("score") >= min(thresholds)) & (F.col("n1") >= MIN_DOCS))
-    best = scored.orderBy(F.desc("score"), "token").limit(MODEL_TOKENS).collect()
-    clean = {r["token"]: float(r["n0"]) for r in best}
-    return [_model({r["token"]: float(r["score"]) for r in best if r["score"] >= least}, clean, t0) for least in thresholds]
+    scored = counts.select("token", "n0", "n1", (odds(F.col("n1"), t1) - odds(F.col("n0"), t0)).alias("delta"), (MIN_Z * error).alias("margin"))
+    toxic = scored.where((F.col("delta") - F.col("margin") >= min(thresholds)) & (F.col("n1") >= MIN_DOCS)).select("token", "n0", (F.col("delta") - F.col("margin")).alias("score")).collect()
+    heads = counts.sparkSession.createDataFrame(frame(sorted({(_head(r["token"]),) for r in toxic}), "head string"), "head string")
+    clean = scored.where((F.col("delta") + F.col("margin") < 0) & (F.col("n0") + F.col("n1") >= MIN_DOCS)).withColumn("head", F.substring("token", 1, 3)).join(F.broadcast(heads), "head")
+    clean = [r["token"] for r in clean.select("token").collect()] if toxic else []
+    base = {r["token"]: float(r["n0"]) for r in toxic}
+    return [_model({r["token"]: float(r["score"]) for r in toxic if r["score"] >= least}, clean, base, t0) for least in thresholds]
 
 
-def _model(scores: dict, clean: dict, total: float) -> Model:
+def _head(token: str) -> str:
+    return token.removesuffix(WHOLE)[:3]
+
+
+def _model(scores: dict, clean: list[str], base: dict, total: float) -> Model:
     """Scores with the constant for other words and the parameters of the extreme-value distribution in clean texts."""
     held = np.array([*scores.values(), 0.0])
-    base = np.array([*(clean[t] for t in scores), 0.0])
-    base[-1] = max(total - base.sum(), 1.0)
-    base /= base.sum()
+    weight = np.array([*(base[t] for t in scores), 0.0])
+    weight[-1] = max(total - weight.sum(), 1.0)
+    weight /= weight.sum()
     # Any other word costs a little: the mean gain of the model's tokens in clean texts, twice, and at least a hundredth.
-    held[-1] = other = -max(0.01, 2 * float((base * held).sum()))
-    return Model(scores, other, *_karlin(held, base), heads=frozenset(token[:3] for token in scores))
+    held[-1] = other = -max(0.01, 2 * float((weight * held).sum()))
+    # Clean tokens matter where a part of them is toxic.
+    below = {t: 0.0 for t in clean if t not in scores and any(p in scores for p in tokens(t.removesuffix(WHOLE)) if t.startswith(p))}
+    return Model({**below, **{t: max(s, 1e-9) for t, s in scores.items()}}, other, *_karlin(held, weight), heads=frozenset(map(_head, scores)))
 
 
 def _counted(seen: tuple) -> pd.DataFrame:
