@@ -2,8 +2,9 @@
 
 The 64 bits are cut into m segments on a ring. If two fingerprints differ in at most t bits, some chain of consecutive segments keeps
 every prefix of length j within j*t/m differences. With m = 5 and t = 2 the first two segments of such a chain are equal (0.8 < 1), the
-first three and four differ in at most one bit. So equal pairs of neighbouring segments are joined, the longer prefixes of the chain
-are tested, and what is left gets the full check.
+first three and four differ in at most one bit. The 38 or 39 bits that the two leave hold at most t differences as well, so they are a
+ring of m segments in turn: some two neighbours there are equal too. Fingerprints are joined on such four equal segments (about 41 bits),
+the longer prefixes of the outer chain are tested, and what is left gets the full check.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceflow.llm.common import components, cut, drop_cut
+from spliceflow.llm.common import components, cut, drop_cut, unused
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
 #: Segments of the ring, from the lowest bit.
 WIDTHS = (13, 13, 13, 13, 12)
-#: A bucket with more fingerprints than this is linked through their one-bit neighbours, which is exact too and linear.
+#: A bucket of four equal segments with more fingerprints than this isn't paired: they are linked through their one-bit neighbours, which
+#: is exact too and linear.
 LARGE_BUCKET = 256
 
 
@@ -72,11 +74,30 @@ def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit(mask))
 
 
+def _bits(value: Column, start: int, width: int) -> Column:
+    return F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1))
+
+
+def _chain_keys(fp: Column) -> list[Column]:
+    """struct(chain, key) for each chain of the outer ring with each of the inner one: the bits of its four segments."""
+    m, out = len(WIDTHS), []
+    for i in range(m):
+        start, width = sum(WIDTHS[:i]), WIDTHS[i] + WIDTHS[(i + 1) % m]
+        turned = F.shiftrightunsigned(fp, start).bitwiseOR(F.shiftleft(fp, 64 - start)) if start else fp
+        rest, n = F.shiftrightunsigned(turned, width), 64 - width
+        inner = [n // m + (k < n % m) for k in range(m)]
+        for j in range(m):
+            k = (j + 1) % m
+            pair = F.shiftleft(_bits(rest, sum(inner[:j]), inner[j]), inner[k]).bitwiseOR(_bits(rest, sum(inner[:k]), inner[k]))
+            key = F.shiftleft(_bits(turned, 0, width), inner[j] + inner[k]).bitwiseOR(pair)
+            out.append(F.struct(F.lit(m * i + j).alias("chain"), key.alias("key")))
+    return out
+
+
 def _near(prints: DataFrame) -> DataFrame:
     """(u, v) links between different fingerprints of prints(fp)."""
     m = len(WIDTHS)
-    keys = F.array(*(F.struct(F.lit(i).alias("chain"), (_segment(F.col("fp"), i) * (1 << WIDTHS[(i + 1) % m]) + _segment(F.col("fp"), i + 1)).alias("key")) for i in range(m)))
-    dealt = prints.select("fp", F.explode(keys).alias("at")).select("fp", "at.chain", "at.key")
+    dealt = prints.select("fp", F.explode(F.array(*_chain_keys(F.col("fp")))).alias("at")).select("fp", "at.chain", "at.key")
     large = cut(dealt.groupBy("chain", "key").count().where(F.col("count") > LARGE_BUCKET).select("chain", "key"))
     crowded = large.count() > 0
     usual = dealt.join(large, ["chain", "key"], "left_anti") if crowded else dealt
@@ -85,7 +106,7 @@ def _near(prints: DataFrame) -> DataFrame:
     for i in range(m):
         third = F.bit_count(_segment(x, i + 2))
         fourth = F.bit_count(_segment(x, i + 3))
-        budget = F.when(F.col("a.chain") == i, (third * m <= 3 * MAX_BITS) & ((third + fourth) * m <= 4 * MAX_BITS)).otherwise(budget)
+        budget = F.when(F.floor(F.col("a.chain") / m) == i, (third * m <= 3 * MAX_BITS) & ((third + fourth) * m <= 4 * MAX_BITS)).otherwise(budget)
     links = (
         usual.alias("a")
         .join(usual.alias("b"), (F.col("a.chain") == F.col("b.chain")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & budget & (F.bit_count(x) <= MAX_BITS))
@@ -127,18 +148,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """docs without the near-duplicates: of each group exactly one row stays, with all its columns.
 
     It is the row with the smallest id (null ids come last), of equal ids that with the smallest hash of its text; of rows that repeat
-    id and text any one. Other rows that have its id stay or go by their own groups.
+    id and text any one. Other rows that have its id stay or go by their own groups. Null and empty texts are a group like any other; an
+    empty table gives an empty one; other columns may have any names.
     """
     keys = cut(_grouped(docs, id_col, text_col, [F.xxhash64(text_col).alias("hash")]).groupBy("root", "doc_id", "hash").agg(F.count(F.lit(1)).alias("times")))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
     first = cut(keys.groupBy("root").agg(F.min(place).alias("at")).select(F.col("root").alias("r"), F.col("at.doc_id").alias("d"), F.col("at.hash").alias("h")))
     stays = (F.col("root") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
-    named = [F.col("doc_id").alias("__doc"), F.col("hash").alias("__hash")]
+    doc, hash_ = unused(docs, "doc", "hash")
+    named = [F.col("doc_id").alias(doc), F.col("hash").alias(hash_)]
     dropped = cut(keys.join(first, stays, "left_anti").select(*named))
     repeated = cut(keys.where("times > 1").join(first, stays, "left_semi").select(*named))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.xxhash64(F.col(text_col)) == F.col("__hash"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(hash_))
     kept = docs.join(dropped, same, "left_anti")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, same).dropDuplicates(["__doc", "__hash"]).select(*docs.columns)
+    once = kept.join(repeated, same).dropDuplicates([doc, hash_]).select(*docs.columns)
     return kept.join(repeated, same, "left_anti").union(once)
