@@ -93,21 +93,24 @@ SELECT u.page_id, u.host, u.path, m.rule, coalesce(m.verdict, '{url_filter.DEFAU
 
 
 def _canonical_sql(text: str) -> str:
-    kept = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\p{{L}}\p{{N}}\n]*(copyright|©|\(c\))[^\n]*$', ' ', 'g')"
-    out = rf"(' ' || trim(regexp_replace({kept}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' ')"
+    kept = f"regexp_replace(lower(coalesce({text}, '')), '(?m){licenses.HOLDER_LINE}', ' ', 'g')"
+    out = f"(' ' || trim(regexp_replace({kept}, '{licenses.GAP}', '  ', 'g')) || ' ')"
     for old, new in licenses.SPELLINGS:
-        out = f"replace({out}, ' {old} ', ' {new} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {old.replace(' ', '  ')} ', ' {new.replace(' ', '  ')} ')"
+    return rf"regexp_replace(trim(replace({out}, '  ', ' ')), '{licenses.TITLE}', '\2')"
 
 
-_KNOWN_SQL = ", ".join(f"('{name}', '{text}')" for name, text in licenses.KNOWN)
+_KNOWN_SQL = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in licenses.KNOWN)
+_DIGESTS_SQL = ", ".join(f"('{name}', '{digest}')" for name, digest, *_ in licenses.DIGESTS)
 OP5_SQL = f"""
-WITH k AS (SELECT sha256(c) AS digest, min(license) AS found FROM (SELECT license, {_canonical_sql("text")} AS c FROM (VALUES {_KNOWN_SQL}) v(license, text)) GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-met AS (SELECT doc_id, found FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM lines) JOIN k USING (digest)),
-n AS (SELECT doc_id, count(*) AS n_notices, string_agg(DISTINCT found, ',' ORDER BY found) AS notices FROM met GROUP BY doc_id)
+WITH k AS (SELECT digest, min(license) AS found FROM (SELECT license, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {_KNOWN_SQL}) v(license, text) UNION ALL SELECT * FROM (VALUES {_DIGESTS_SQL}) w(license, digest)) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+parts AS (SELECT r, unnest(string_split_regex(text, '{licenses.PARAGRAPHS}')) AS part FROM d WHERE text IS NOT NULL),
+pk AS (SELECT r, part, found FROM (SELECT r, part, sha256({_canonical_sql("part")}) AS digest FROM parts) LEFT JOIN k USING (digest)),
+met AS (SELECT r, found FROM pk WHERE found IS NOT NULL UNION ALL SELECT r, k.found FROM (SELECT r, sha256({_canonical_sql("line")}) AS digest FROM (SELECT r, unnest(string_split(part, chr(10))) AS line FROM pk WHERE found IS NULL)) JOIN k USING (digest)),
+n AS (SELECT r, count(*) AS n_notices, string_agg(DISTINCT found, ',' ORDER BY found) AS notices FROM met GROUP BY r)
 SELECT d.doc_id, k.found AS license, CAST(coalesce(n_notices, 0) AS BIGINT) AS n_notices, coalesce(notices, '') AS notices
-FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents) d LEFT JOIN k USING (digest) LEFT JOIN n USING (doc_id)
+FROM (SELECT r, doc_id, sha256({_canonical_sql("text")}) AS digest FROM d) d LEFT JOIN k USING (digest) LEFT JOIN n USING (r)
 """
 
 OP6_SQL = f"""
