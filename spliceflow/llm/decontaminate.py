@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceflow.llm.common import LOWER, UPPER, cut
+from spliceflow.llm.common import LOWER, UPPER, cut, unused
 
 WINDOW_WORDS = 10
 SHINGLE = 2
@@ -103,12 +103,14 @@ def _told(rows: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a window of an item, with all columns otherwise kept.
 
-    Rows with a contaminated id go together; rows without an id are documents of their own, each judged by its text.
+    Rows with a contaminated id go together; rows without an id are documents of their own, each judged by its text. Null and empty texts
+    stay; an empty table gives an empty one; other columns may have any names.
     """
     judged = _judged(docs, items, id_col, text_col, WINDOW_WORDS)
     own = F.when(F.col("doc_id").isNull(), F.col("text_hash"))
-    hit = cut(judged.where("contaminated").select(F.col("doc_id").alias("__hit"), own.alias("__hash")).distinct())
-    return docs.join(hit, F.col(id_col).eqNullSafe(F.col("__hit")) & F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).eqNullSafe(F.col("__hash")), "left_anti")
+    doc, hash_ = unused(docs, "doc", "hash")
+    hit = cut(judged.where("contaminated").select(F.col("doc_id").alias(doc), own.alias(hash_)).distinct())
+    return docs.join(hit, F.col(id_col).eqNullSafe(F.col(doc)) & F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).eqNullSafe(F.col(hash_)), "left_anti")
 
 
 __all__ = ["BLOCK_WINDOWS", "SHINGLE", "WINDOW_WORDS", "decontaminate", "drop_contaminated", "windows_of", "words_of"]

@@ -12,6 +12,8 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spliceflow.llm.common import unused
+
 SLOTS = 65_537
 SHARDS = tuple(f"shard-{k:03d}" for k in range(64))
 
@@ -48,16 +50,20 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return (F.conv(F.substring(F.sha2(F.coalesce(key.cast("string"), F.lit("")), 256), 1, 15), 16, 10).cast("long") % slots).cast("int")
 
 
-def place(rows: DataFrame, shards: list[str] | tuple[str, ...] = SHARDS, key_col: str = "doc_id", slots: int = SLOTS) -> DataFrame:
-    """rows with slot and shard added (columns of these names are replaced); no row moves.
+def place(rows: DataFrame, shards: list[str] | tuple[str, ...] = SHARDS, key_col: str = "doc_id", slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
+    """rows with slot_col and shard_col added; no row moves, all columns of rows stay.
 
-    Rows that repeat a key are placed together, null keys like the empty text. The broadcast table has `slots` rows whatever the input.
+    Rows that repeat a key are placed together, null keys like the empty text; an empty table gives an empty one. A column of rows that
+    has one of the two names is an error: give other names. The broadcast table has `slots` rows whatever the input.
     """
+    if taken := {slot_col.lower(), shard_col.lower()} & {c.lower() for c in rows.columns}:
+        raise ValueError(f"rows has columns {sorted(taken)} already: name slot_col and shard_col")
     spark: SparkSession = rows.sparkSession
     names = sorted(set(shards))
-    table = spark.createDataFrame([(slot, names[k]) for slot, k in enumerate(lookup_table(names, slots))], "__slot int, __shard string")
-    keyed = rows.withColumn("slot", slot_of(F.col(key_col), slots))
-    return keyed.drop("shard").join(F.broadcast(table), F.col("slot") == F.col("__slot")).withColumn("shard", F.col("__shard")).drop("__slot", "__shard")
+    at, name = unused(rows, "at", "name")
+    table = spark.createDataFrame([(slot, names[k]) for slot, k in enumerate(lookup_table(names, slots))], f"{at} int, {name} string")
+    keyed = rows.withColumn(slot_col, slot_of(F.col(key_col), slots))
+    return keyed.join(F.broadcast(table), F.col(slot_col) == F.col(at)).select(*keyed.columns, F.col(name).alias(shard_col))
 
 
 def write_shards(rows: DataFrame, path: str, shards: list[str] | tuple[str, ...] = SHARDS, key_col: str = "doc_id", files_each: int = 4) -> None:

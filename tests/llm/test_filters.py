@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spliceflow.llm import decontaminate, licenses, queries, sharding, toxicity, url_filter
@@ -79,8 +80,28 @@ def test_url_rules(spark, monkeypatch, few):
     assert {(r.rule, r.verdict) for r in url_filter.judge(pages, rules.limit(0)).collect()} == {(None, "allow")}
 
 
+ISC_AS_PUBLISHED = """ISC License
+
+Copyright (c) 2004-2010 by Some Consortium, Inc. ("SC")
+Copyright (c) 1995-2003 by Another Consortium
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.
+"""
+
+
 def test_license_scan(spark):
     mit = next(t for n, t in licenses.KNOWN if n == "MIT" and t.startswith("Permission"))
+    bsd = next(t for n, t in licenses.KNOWN if n == "BSD-3-Clause")
     rows = [
         (1, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace("SUBLICENSE", "sub-licence").replace(". ", ".\n  ")),
         (2, "Some text.\nReleased under the M.I.T. License.\nreleased under the MIT licence!"),
@@ -92,12 +113,25 @@ def test_license_scan(spark):
         (3, "Released under the MIT License."),
         (None, "Licensed under CC BY-NC 4.0."),
         (5, ""),
+        (8, ISC_AS_PUBLISHED),
+        (9, "The MIT License (MIT)\n\nCopyright © 2001 A. Holder\nAll rights reserved.\n\n" + mit.replace(" and ", "\nand ")),
+        (10, "BSD 3-Clause License\n\n[Copyright 1999] x\nCopyright [yyyy] [name]\n" + bsd.replace("copyright holder nor", "copyright owner nor").replace(" (", "\n(")),
+        (11, "A story.\nAnd on.\n\nReleased under\n the MIT License.\n\nThe end.\nLicence, licence, percent."),
+        (12, "Copyright notice and this permission\nCopyright holders may\nReleased under the MIT License."),
+        (13, "x " * 30_000 + "\nReleased under the MIT License."),
     ]
-    docs = spark.createDataFrame([(a, b, "", "") for a, b in rows], "doc_id long, text string, license string, digest string")
+    docs = spark.createDataFrame([(a, b, "", "", 1) for a, b in rows], "doc_id long, text string, license string, digest string, row int")
     got = sorted(map(str, (tuple(r) for r in licenses.license_scan(docs, licenses.known_digests(spark)).collect())))
-    want = [(1, "MIT", 0, ""), (2, None, 1, "MIT"), (3, None, 3, "Apache-2.0,MIT"), (4, None, 0, ""), (5, None, 0, ""), (5, None, 0, ""), (6, None, 0, ""), (7, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0"), (3, "MIT", 1, "MIT"), (None, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0")]
+    want = [(1, "MIT", 1, "MIT"), (2, None, 1, "MIT"), (3, None, 3, "Apache-2.0,MIT"), (4, None, 0, ""), (5, None, 0, ""), (5, None, 0, ""), (6, None, 0, ""), (7, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0"), (3, "MIT", 1, "MIT"), (None, "CC-BY-NC-4.0", 1, "CC-BY-NC-4.0")]
+    want += [(8, "ISC", 0, ""), (9, "MIT", 1, "MIT"), (10, "BSD-3-Clause", 1, "BSD-3-Clause"), (11, None, 1, "MIT"), (12, None, 1, "MIT"), (13, None, 1, "MIT")]
     assert got == sorted(map(str, want))
     assert licenses.license_scan(docs.limit(0), licenses.known_digests(spark)).count() == 0
+    assert {r.license for r in licenses.license_scan(docs, licenses.known_digests(spark, digests=[]).limit(0)).collect()} == {None}
+
+
+def test_equivalent_spellings_side_by_side(spark):
+    rows = spark.createDataFrame([("Licence licence; LICENCE sub-licence",), ("The MIT License",), ("mit licence: grants",)], "t string").select(licenses.canonical(F.col("t")).alias("c"))
+    assert [r.c for r in rows.collect()] == ["license license license sublicense", "the mit license", "grants"]
 
 
 def test_sharding(spark):
@@ -120,8 +154,15 @@ def test_sharding(spark):
         with pytest.raises(ValueError):
             sharding.lookup_table(*bad)
     rows = [(k, k) for k in range(500)] + [(3, 1), (None, 1), (None, 2)]
-    placed = sharding.place(spark.createDataFrame(rows, "doc_id long, shard long"), names, slots=997).collect()
-    assert len(placed) == len(rows)
+    given = spark.createDataFrame(rows, "doc_id long, at long")
+    placed = sharding.place(given, names, slots=997)
+    assert placed.columns == ["doc_id", "at", "slot", "shard"]
+    placed = placed.collect()
+    assert len(placed) == len(rows) and sorted(r.at for r in placed) == sorted(r[1] for r in rows)
+    with pytest.raises(ValueError):
+        sharding.place(given.withColumnRenamed("at", "Shard"), names, slots=997)
+    assert sharding.place(given.withColumnRenamed("at", "shard"), names, slots=997, shard_col="to").columns == ["doc_id", "shard", "slot", "to"]
+    assert sharding.place(given, names, "at", slots=997).count() == len(rows)
     for r in placed:
         slot = int(hashlib.sha256(("" if r.doc_id is None else str(r.doc_id)).encode()).hexdigest()[:15], 16) % 997
         assert (r.slot, r.shard) == (slot, names[table[slot]])
