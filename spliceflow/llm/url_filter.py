@@ -45,21 +45,29 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     known = cut(known.groupBy("host", "path").agg(F.max("verdict").alias("verdict")).select((F.concat("host", "path")).alias("rule"), F.sha2(F.concat_ws("\x00", "host", "path"), 256).alias("digest"), F.length("host").alias("host_length"), F.length("path").alias("path_length"), "verdict"))
     lengths = sorted(r[0] for r in known.select("path_length").distinct().collect())  # at most as many as the longest rule has characters
     few = known.limit(BROADCAST_RULES + 1).count() <= BROADCAST_RULES
-    url = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    url = pages.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("row", "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if not lengths:
         return url.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    # Pages with one host and path get one judgement, made once.
-    labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    prefixes = F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length("path"))
-    wide = url.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", "suffix", F.explode(prefixes).alias("n"))
-    asked = wide.select("host", "path", F.sha2(F.concat_ws("\x00", "suffix", F.expr("substring(path, 1, n)")), 256).alias("full")).withColumn("short", F.substring("full", 1, SHORT))
     known = known.withColumn("short", F.substring("digest", 1, SHORT))
+    rank = F.when(F.col("digest").isNotNull(), F.struct(F.col("host_length") + F.col("path_length"), F.col("host_length"), F.col("verdict"), F.col("rule")))
     if few:
-        met = asked.join(F.broadcast(known), "short")
+        # No page moves but for the last step, in which a page's expressions are combined before they are exchanged.
+        asked = _expressions(url, lengths)
+        met = asked.join(F.broadcast(known), (asked["short"] == known["short"]) & (F.col("full") == F.col("digest")), "left")
+        won = met.groupBy("row", "page_id", "host", "path").agg(F.max(rank).alias("best"))
     else:
+        url = cut(url)
         spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = asked.withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int")).join(spread, ["short", "salt"])
-    rank = F.struct(F.col("host_length") + F.col("path_length"), F.col("host_length"), F.col("verdict"), F.col("rule"))
-    won = met.where("full = digest").groupBy("host", "path").agg(F.max(rank).alias("best")).select(F.col("host").alias("h"), F.col("path").alias("p"), "best.rule", "best.verdict")
-    return url.join(cut(won), (F.col("host") == F.col("h")) & (F.col("path") == F.col("p")), "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+        met = _expressions(url, lengths).withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(spread, ["short", "salt"]).where("full = digest")
+        won = url.join(met.groupBy("row").agg(F.max(rank).alias("best")), "row", "left")
+    return won.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+
+
+def _expressions(url: DataFrame, lengths: list[int]) -> DataFrame:
+    """url with full and short for each host suffix with each path prefix of one of the lengths; null where a page has none."""
+    labels = F.split("host", r"\.", -1)
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    prefixes = F.filter(F.array(*(F.lit(n) for n in lengths)), lambda n: n <= F.length("path"))
+    wide = url.select("*", F.explode(suffixes).alias("suffix")).select("*", F.explode_outer(prefixes).alias("n"))
+    full = F.sha2(F.concat("suffix", F.lit("\x00"), F.expr("substring(path, 1, n)")), 256)
+    return wide.select(*url.columns, full.alias("full")).withColumn("short", F.substring("full", 1, SHORT))
