@@ -19,13 +19,15 @@ THRESHOLD = 0.93
 #: Bytes of the vectors of a block. A block is shuffled once for each block it may have links to, so larger blocks move less.
 BLOCK_BYTES = 8 << 20
 #: Vectors of a tile: products of tile pairs are made at once.
-TILE = 1024
+TILE = 512
 #: Rows, those with the smallest hashes, from which the axes are taken. The axes only order the work; results don't depend on them.
 AXES_ROWS = 4096
 #: Axes of the first stretch; each further one is as long as all before it.
-LEAD = 8
+LEAD = 16
 #: Share of a tile pair's products below which the pairs left are followed one by one.
 SPARSE = 0.05
+#: What a bound may lie below the threshold and still count as reaching it.
+SLACK = 1e-4
 _CELLS = 200
 
 
@@ -57,9 +59,10 @@ class _Turned:
     def __init__(self, vectors: np.ndarray, axes: np.ndarray):
         self.vectors, self.norms = vectors, np.linalg.norm(vectors, axis=1)
         unit = vectors / self.norms[:, None]
-        self.at = unit @ axes if vectors.shape[1] == axes.shape[0] else unit
-        squares = np.cumsum(self.at[:, ::-1] ** 2, axis=1)[:, ::-1]
-        self.left = np.sqrt(np.column_stack([squares, np.zeros(len(vectors))]))
+        at = unit @ axes if vectors.shape[1] == axes.shape[0] else unit
+        squares = np.cumsum(at[:, ::-1] ** 2, axis=1)[:, ::-1]
+        # Bounds in single precision: their error is far below the slack that is left to them.
+        self.at, self.left = at.astype(np.float32), np.sqrt(np.column_stack([squares, np.zeros(len(vectors))])).astype(np.float32)
 
     def tiles(self) -> list[slice]:
         return [slice(k, k + TILE) for k in range(0, len(self.vectors), TILE)]
@@ -68,8 +71,8 @@ class _Turned:
 def _tile_links(p: _Turned, q: _Turned, s: slice, t: slice, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Places in the tiles s of p and t of q of the pairs that may reach the threshold."""
     a, b, ra, rb = p.at[s], q.at[t], p.left[s], q.left[t]
-    low, i, j, held = threshold - 1e-9, None, None, None
-    products = np.zeros((len(a), len(b)))
+    low, i, j, held = np.float32(threshold - SLACK), None, None, None
+    products = np.zeros((len(a), len(b)), dtype=np.float32)
     for begin, end in _stretches(a.shape[1]):
         if i is None:
             products += a[:, begin:end] @ b[:, begin:end].T
@@ -109,7 +112,7 @@ def _links(p: _Turned, q: _Turned, threshold: float) -> tuple[np.ndarray, np.nda
 
 def _gap(threshold: float) -> float:
     """How far apart two unit vectors that link can be, a little more for rounding."""
-    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
 
 
 def _forest(i: np.ndarray, j: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> list[tuple[int, int]]:
