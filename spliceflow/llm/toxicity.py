@@ -12,6 +12,7 @@ training rows that the counts haven't seen.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -49,17 +50,24 @@ COUNTS = "token string, n0 long, n1 long, c0 long, c1 long"
 PASSAGES = "doc_id long, first_word long, end_word long, score double, expected double, words string"
 #: Thai to Burmese and Khmer, kana, Han and Hangul, which are read by the character.
 _UNPARTED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7af\uf900-\ufaff"
-_WORD = re.compile(rf"[{_UNPARTED}]|[^\W{_UNPARTED}]+")
+_WORD, _CHARACTER, _ANY = re.compile(r"\w+"), re.compile(f"[{_UNPARTED}]"), re.compile(f"[{_UNPARTED}]|[^{_UNPARTED}]+")
 
 
 def words_of(text: str | None) -> list[str]:
     """Runs of letters, digits and underscores, lower-cased; single characters of scripts that don't part words."""
-    return _WORD.findall(text.lower()) if isinstance(text, str) else []
+    if not isinstance(text, str):
+        return []
+    words = _WORD.findall(text.lower())
+    if text.isascii() or not _CHARACTER.search(text):
+        return words
+    return [part for word in words for part in _ANY.findall(word)]
 
 
 def tokens(word: str) -> list[str]:
     """The beginnings of a word, shortest first, and the whole of it."""
-    return [*(word[:n] for n in BEGINNINGS if n < len(word)), word + WHOLE]
+    out = [word[:n] for n in BEGINNINGS[: bisect_left(BEGINNINGS, len(word))]]
+    out.append(word + WHOLE)
+    return out
 
 
 def held_out(id_: Column) -> Column:
@@ -95,7 +103,9 @@ class Model:
         for k, word in enumerate(words):
             if word[:3] not in heads:
                 continue
-            s = seen[word] if word in seen else seen.setdefault(word, self.word_score(word))
+            if word not in seen:
+                seen[word] = self.word_score(word)
+            s = seen[word]
             if s is None:
                 continue
             total += self.other * (k - at)
