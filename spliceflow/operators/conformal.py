@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceflow.functions.calibration import Calibrator, finite, support_bin
+from spliceflow.operators.ranks import running
 
 MIN_GROUP = 20
 
@@ -24,13 +25,11 @@ def quantiles(scores: DataFrame, keys: list[str], alpha: float = 0.05, score_col
     """keys, n, q: the rank-th smallest score of each group; q is null (unbounded) if the rank is beyond n.
 
     A score's rank is found without gathering its group: equal scores are counted first, and what lies below a score is a running
-    sum over the distinct ones.
+    sum over buckets of the distinct ones.
     """
-    counts = scores.where(F.col(score_col).isNotNull()).groupBy(*keys, score_col).agg(F.count(F.lit(1)).alias("__here"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = F.sum("__here").over(part.orderBy(score_col))
-    ranked = counts.withColumns({"__upto": upto, "n": F.sum("__here").over(part)})
-    hit = F.min(F.when(F.col("__upto") >= rank_of(F.col("n"), alpha), F.col(score_col)))
+    counts = scores.where(F.col(score_col).isNotNull()).groupBy(*keys, score_col).agg(F.count(F.lit(1)).alias("here"))
+    ranked = running(counts, keys, score_col, "here").withColumn("n", F.col("total_here"))
+    hit = F.min(F.when(F.col("before_here") + F.col("here") >= rank_of(F.col("n"), alpha), F.col(score_col)))
     return ranked.groupBy(*keys).agg(F.max("n").alias("n"), hit.alias("q"))
 
 

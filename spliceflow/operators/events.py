@@ -40,19 +40,29 @@ def _event(kind: Column | str, coordinates: list[str], inclusion: list[tuple[str
     return [type_.alias("event_type"), *GENE, F.concat_ws(":", type_, "chrom", "strand", F.concat_ws("_", *coordinates)).alias("event_id"), arrays[0].alias("inclusion"), arrays[1].alias("exclusion")]
 
 
+def _distinct(rows: DataFrame, *coordinates: str) -> DataFrame:
+    """Each set of coordinates of a gene once, with the least and the greatest number of its transcripts: what is paired doesn't grow
+    with the number of transcripts."""
+    return rows.groupBy(*GENE, *coordinates).agg(F.min("tx").alias("lo"), F.max("tx").alias("hi"))
+
+
+#: Two sets of coordinates have different transcripts unless both have one, the same.
+_APART = "not (lo = hi and lo2 = hi2 and lo = lo2)"
+
+
 def skipped_exons(near: DataFrame) -> DataFrame:
     """An internal exon of one transcript between the ends of an intron of another."""
-    inner = near.where("up_e is not null and down_s is not null").select(*GENE, "transcript_id", F.col("up_e").alias("js"), F.col("down_s").alias("je"), "s", "e")
-    skip = introns(near).select(*GENE, F.col("transcript_id").alias("other"), "js", "je")
-    met = inner.join(skip, [*GENE, "js", "je"]).where("transcript_id <> other")
-    return met.select(*_event("SE", ["js", "s", "e", "je"], [("js", "s"), ("e", "je")], [("js", "je")])).distinct()
+    inner = _distinct(near.where("up_e is not null and down_s is not null").select(*GENE, "tx", F.col("up_e").alias("js"), F.col("down_s").alias("je"), "s", "e"), "js", "je", "s", "e")
+    skip = _distinct(introns(near), "js", "je").withColumnsRenamed({"lo": "lo2", "hi": "hi2"})
+    met = inner.join(skip, [*GENE, "js", "je"]).where(_APART)
+    return met.select(*_event("SE", ["js", "s", "e", "je"], [("js", "s"), ("e", "je")], [("js", "je")]))
 
 
 def _alternative(near: DataFrame, shared: str, other: str, plus: str, minus: str) -> DataFrame:
     """Introns of a gene's different transcripts with one end shared and the other not."""
-    each = introns(near).select(*GENE, "tx", "js", "je")
-    a, b = each, each.select(*GENE, F.col("tx").alias("tx2"), F.col(shared), F.col(other).alias("o2"))
-    met = a.join(b, [*GENE, shared]).where(f"{other} < o2 and tx <> tx2").select(*GENE, shared, F.col(other).alias("near"), F.col("o2").alias("far")).distinct()
+    each = _distinct(introns(near), "js", "je")
+    b = each.select(*GENE, shared, F.col(other).alias("o2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    met = each.join(b, [*GENE, shared]).where(f"{other} < o2").where(_APART).select(*GENE, shared, F.col(other).alias("near"), F.col("o2").alias("far"))
     kind = F.when(F.col("strand") == "-", minus).otherwise(plus)
     if shared == "je":
         # On the plus strand the nearer donor is the longer intron: the shorter exon end first.
@@ -82,28 +92,28 @@ def alternative_acceptors(near: DataFrame) -> DataFrame:
 
 def mutually_exclusive(near: DataFrame) -> DataFrame:
     """Internal exons of different transcripts with the same flanks that neither overlap nor touch."""
-    inner = near.where("up_e is not null and down_s is not null").select(*GENE, "tx", F.col("up_e").alias("us"), F.col("down_s").alias("ds"), F.col("s").alias("s1"), F.col("e").alias("e1"))
-    other = inner.withColumnsRenamed({"tx": "tx2", "s1": "s2", "e1": "e2"})
-    met = inner.join(other, [*GENE, "us", "ds"]).where("s1 < s2 and tx <> tx2 and s2 > e1")
-    return met.select(*_event("MXE", ["us", "s1", "e1", "s2", "e2", "ds"], [("us", "s1"), ("e1", "ds")], [("us", "s2"), ("e2", "ds")])).distinct()
+    inner = _distinct(near.where("up_e is not null and down_s is not null").select(*GENE, "tx", F.col("up_e").alias("us"), F.col("down_s").alias("ds"), F.col("s").alias("s1"), F.col("e").alias("e1")), "us", "ds", "s1", "e1")
+    other = inner.withColumnsRenamed({"lo": "lo2", "hi": "hi2", "s1": "s2", "e1": "e2"})
+    met = inner.join(other, [*GENE, "us", "ds"]).where("s2 > e1").where(_APART)
+    return met.select(*_event("MXE", ["us", "s1", "e1", "s2", "e2", "ds"], [("us", "s1"), ("e1", "ds")], [("us", "s2"), ("e2", "ds")]))
 
 
 def retained_introns(near: DataFrame) -> DataFrame:
     """An exon of one transcript that holds an intron of another."""
-    spans = near.select(*GENE, "transcript_id", "s", "e")
-    inner = introns(near).select(*GENE, F.col("transcript_id").alias("other"), F.col("js").alias("rs"), F.col("je").alias("re"))
-    met = overlap_join(spans, inner, GENE).where("s <= rs and e >= re and transcript_id <> other")
+    spans = _distinct(near.select(*GENE, "tx", "s", "e"), "s", "e")
+    inner = _distinct(introns(near), "js", "je").withColumnsRenamed({"js": "rs", "je": "re", "lo": "lo2", "hi": "hi2"})
+    met = overlap_join(spans, inner, GENE).where("s <= rs and e >= re").where(_APART)
     return met.select(*_event("RI", ["rs", "re"], [], [("rs", "re")])).distinct()
 
 
 def _terminal(near: DataFrame, kind: str, place: str, joined: str) -> DataFrame:
     """First or last exons that differ while the neighbour's inner end is shared; a pair counts in transcript order, if starts don't fall."""
-    ends = near.where(f"{place} = 1 and {joined} is not null").select(*GENE, "tx", F.col(joined).alias("j"), F.col("s").alias("s1"), F.col("e").alias("e1"))
-    other = ends.withColumnsRenamed({"tx": "tx2", "s1": "s2", "e1": "e2"})
-    met = ends.join(other, [*GENE, "j"]).where("tx < tx2 and s1 <= s2 and not (s1 = s2 and e1 = e2)")
+    ends = _distinct(near.where(f"{place} = 1 and {joined} is not null").select(*GENE, "tx", F.col(joined).alias("j"), F.col("s").alias("s1"), F.col("e").alias("e1")), "j", "s1", "e1")
+    other = ends.withColumnsRenamed({"lo": "lo2", "hi": "hi2", "s1": "s2", "e1": "e2"})
+    met = ends.join(other, [*GENE, "j"]).where("lo < hi2 and s1 <= s2 and not (s1 = s2 and e1 = e2)")
     if kind == "AFE":
-        return met.select(*_event(kind, ["s1", "e1", "s2", "e2", "j"], [("e1", "j")], [("e2", "j")])).distinct()
-    return met.select(*_event(kind, ["j", "s1", "e1", "s2", "e2"], [("j", "s1")], [("j", "s2")])).distinct()
+        return met.select(*_event(kind, ["s1", "e1", "s2", "e2", "j"], [("e1", "j")], [("e2", "j")]))
+    return met.select(*_event(kind, ["j", "s1", "e1", "s2", "e2"], [("j", "s1")], [("j", "s2")]))
 
 
 def alternative_first(near: DataFrame) -> DataFrame:
@@ -120,7 +130,7 @@ DETECTORS = (skipped_exons, alternative_donors, alternative_acceptors, mutually_
 def detect(exons: DataFrame) -> DataFrame:
     """All seven classes of events."""
     near = with_neighbours(exons)
-    return reduce(DataFrame.union, (d(near) for d in DETECTORS)).distinct()
+    return reduce(DataFrame.union, (d(near) for d in DETECTORS))
 
 
 def junction_counts(events: DataFrame, junctions: DataFrame) -> DataFrame:

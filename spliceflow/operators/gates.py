@@ -7,23 +7,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceflow.operators.intervals import islands, overlap_join
+from spliceflow.operators.ranks import running
 
 
 def calibration_factor(rows: DataFrame, keys: list[str], factor: str, target: float) -> DataFrame:
     """keys, n, factor: the order statistic at ceil(target * n) of the required factors, at least 1."""
-    counts = rows.groupBy(*keys, factor).agg(F.count(F.lit(1)).alias("__n"))
-    part = Window.partitionBy(*keys)
-    ranked = counts.withColumns({"__upto": F.sum("__n").over(part.orderBy(factor)), "n": F.sum("__n").over(part)})
+    counts = rows.groupBy(*keys, factor).agg(F.count(F.lit(1)).alias("here"))
+    ranked = running(counts, keys, factor, "here").withColumn("n", F.col("total_here"))
     place = F.greatest(F.ceil(F.col("n").cast("decimal(18,0)") * F.lit(f"{target:.6f}").cast("decimal(8,6)")).cast("long"), F.lit(1))
-    return ranked.where(F.col("__upto") >= place).groupBy(*keys, "n").agg(F.greatest(F.lit(1.0), F.min(factor)).alias("factor"))
+    return ranked.where(F.col("before_here") + F.col("here") >= place).groupBy(*keys, "n").agg(F.greatest(F.lit(1.0), F.min(factor)).alias("factor"))
 
 
 def largest_threshold(rows: DataFrame, keys: list[str], value: str, success: str, accuracy: float, least: int) -> DataFrame:
     """keys, threshold: the largest value up to which at least `least` rows succeed at the given rate."""
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.col(success).cast("long")).alias("__k"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    run = counts.withColumns({"__rn": F.sum("__n").over(order), "__rk": F.sum("__k").over(order)})
-    return run.where((F.col("__rn") >= least) & (F.col("__rk") >= accuracy * F.col("__rn"))).groupBy(*keys).agg(F.max(value).alias("threshold"))
+    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("here"), F.sum(F.col(success).cast("long")).alias("good"))
+    run = running(counts, keys, value, "here", "good").withColumns({"upto": F.col("before_here") + F.col("here"), "right": F.col("before_good") + F.col("good")})
+    return run.where((F.col("upto") >= least) & (F.col("right") >= accuracy * F.col("upto"))).groupBy(*keys).agg(F.max(value).alias("threshold"))
 
 
 def grouped_junctions(junctions: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceflow.functions.calibration import interval_score
+from spliceflow.operators.ranks import running
 
 
 def share(condition: Column) -> Column:
@@ -32,9 +33,7 @@ def coverage(rows: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame
 def auc(rows: DataFrame, keys: list[str], score_col: str = "score", label_col: str = "label") -> DataFrame:
     """keys, n_pos, n_neg, auc: Mann-Whitney with half for ties; null without both classes. Scores are counted before they are ranked."""
     counts = rows.groupBy(*keys, score_col).agg(F.sum((F.col(label_col) == 1).cast("long")).alias("pos"), F.sum((F.col(label_col) == 0).cast("long")).alias("neg"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    below = F.coalesce(F.sum("neg").over(part.orderBy(score_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    won = running(counts, keys, score_col, "neg").withColumn("won", F.col("pos") * (F.col("before_neg") + F.col("neg") / 2))
     out = won.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.sum("won").alias("won"))
     return out.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("won") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
@@ -54,9 +53,7 @@ def mcc(tp: Column, fp: Column, fn: Column, tn: Column) -> Column:
 def average_ranks(rows: DataFrame, keys: list[str], value_col: str, out_col: str = "avg_rank") -> DataFrame:
     """rows with the average rank of their value within keys; ranks come from counted values, joined back."""
     counts = rows.groupBy(*keys, value_col).agg(F.count(F.lit(1)).alias("__n"))
-    part = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = F.sum("__n").over(part.orderBy(value_col))
-    ranks = counts.select(*keys, value_col, (upto - (F.col("__n") - 1) / 2).alias(out_col))
+    ranks = running(counts, keys, value_col, "__n").select(*keys, value_col, (F.col("before___n") + (F.col("__n") + 1) / 2).alias(out_col))
     return rows.join(ranks, [*keys, value_col])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spliceflow.functions import calibration as C
 from spliceflow.operators import conformal, metrics
+from spliceflow.operators.ranks import running
 from spliceflow.plans.domain import sql, view
 from spliceflow.plans.registry import query
 
@@ -110,11 +111,7 @@ def variance_decomposition(spark, sf_dir):
 @query("null_threshold", _SCORES + """, r AS (SELECT bin, abs(estimate) AS v, row_number() OVER (PARTITION BY bin ORDER BY abs(estimate)) AS k, count(*) OVER (PARTITION BY bin) AS n FROM s) SELECT bin, n, round(v, 9) AS threshold FROM r WHERE k = CAST(ceil((n - 1) * 0.95) AS BIGINT) + 1""")
 def null_threshold(spark, sf_dir):
     """Per bin the order statistic at or above the 95 % place, as the higher of its two neighbours."""
-    from pyspark.sql import Window
-
     rows = view(spark, sf_dir, "cal").select(C.support_bin(F.col("support")).alias("bin"), F.abs("estimate").alias("v"))
-    counts = rows.groupBy("bin", "v").agg(F.count(F.lit(1)).alias("here"))
-    part = Window.partitionBy("bin")
-    ranked = counts.withColumns({"upto": F.sum("here").over(part.orderBy("v")), "n": F.sum("here").over(part)})
+    ranked = running(rows.groupBy("bin", "v").agg(F.count(F.lit(1)).alias("here")), ["bin"], "v", "here").withColumnRenamed("total_here", "n")
     place = F.ceil((F.col("n") - 1).cast("decimal(18,0)") * F.lit("0.95").cast("decimal(4,2)")).cast("long") + 1
-    return ranked.where(F.col("upto") >= place).groupBy("bin", "n").agg(F.round(F.min("v"), 9).alias("threshold"))
+    return ranked.where(F.col("before_here") + F.col("here") >= place).groupBy("bin", "n").agg(F.round(F.min("v"), 9).alias("threshold"))
