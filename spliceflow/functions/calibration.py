@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -36,6 +38,30 @@ class Calibrator:
     by_type: dict[str, float] = field(default_factory=dict)
     by_group: dict[str, float] = field(default_factory=dict)
 
+    def to_json(self) -> str:
+        """Version 2 of the calibrator's file: infinite quantiles are null."""
+        bounded = lambda q: q if math.isfinite(q) else None
+        table = lambda t: {k: bounded(v) for k, v in t.items()}
+        return json.dumps({"version": 2, "q_global": bounded(self.q_global), "q_by_bin": table(self.by_bin), "q_by_type": table(self.by_type), "q_by_group": table(self.by_group)}, sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> Calibrator:
+        """A calibrator of version 1 (global and bins) or 2; raises for another version, unknown bins and quantiles below zero."""
+        d = json.loads(text)
+        if d.get("version", 1) not in (1, 2):
+            raise ValueError(f"unknown version {d['version']!r}")
+
+        def quantile(q: object) -> float:
+            value = float("inf") if q is None else float(q)
+            if not value >= 0:
+                raise ValueError(f"{q!r} is no quantile")
+            return value
+
+        table = lambda name: {k: quantile(v) for k, v in (d.get(name) or {}).items()}
+        if unknown := set(table("q_by_bin")) - {b for b, _ in BINS}:
+            raise ValueError(f"unknown support bins {sorted(unknown)}")
+        return cls(quantile(d["q_global"]), table("q_by_bin"), table("q_by_type"), table("q_by_group"))
+
 
 SHIPPED_DPSI = Calibrator(DPSI_Q_GLOBAL, DPSI_Q)
 SHIPPED_PSI = Calibrator(PSI_Q_GLOBAL, PSI_Q)

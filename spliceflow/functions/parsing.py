@@ -69,8 +69,20 @@ def interval_std(low: Column, high: Column) -> Column:
 
 
 def safe_cell(value: Column) -> Column:
-    """Text for a spreadsheet: a leading = + - @ is quoted."""
-    return F.when(value.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), value)).otherwise(value)
+    """Text for a spreadsheet: an apostrophe goes before a leading = + - @, tab, line break or apostrophe."""
+    return F.when(value.rlike(r"^[=+\-@\t\r\n']"), F.concat(F.lit("'"), value)).otherwise(value)
+
+
+def restored_cell(value: Column) -> Column:
+    """What safe_cell() was given: one leading apostrophe goes."""
+    return F.regexp_replace(value, r"^'", "")
+
+
+def region(value: Column) -> Column:
+    """struct(chrom, s, e) of chrom:start-end, thousands separated or not, starts 1-based; null where it can't be read."""
+    text = F.translate(value, ",", "")
+    part = lambda k: F.regexp_extract(text, r"^(.+):(\d+)-(\d+)$", k)
+    return F.when(part(1) != "", F.struct(part(1).alias("chrom"), (part(2).try_cast("long") - 1).alias("s"), part(3).try_cast("long").alias("e")))
 
 
 def event_id(event_type: Column, chrom: Column, strand: Column, *coordinates: Column) -> Column:

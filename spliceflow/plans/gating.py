@@ -139,26 +139,34 @@ _APP = SCORED_SQL + ", ap AS (SELECT *, ci_high - ci_low AS ci_width, abs(dpsi)
 
 
 def _application(spark, sf_dir):
-    rows = scored(spark, sf_dir).withColumns({"ci_low": F.col("ci.low"), "ci_high": F.col("ci.high"), "p_large": F.col("k") % 100 / 100, "anchor": F.col("gene").isin("G3", "G7", "G11")})
-    signed = F.when(F.col("ci_low") > 0, F.col("ci_low")).when(F.col("ci_high") < 0, F.col("ci_high")).otherwise(F.lit(0.0))
-    rows = rows.withColumns({"ci_width": F.col("ci_high") - F.col("ci_low"), "abs_dpsi": F.abs("dpsi"), "signed_margin": signed})
-    return rows.withColumn("score", F.greatest(C.margin(F.col("ci")), F.lit(0.0)) * F.col("p_large"))
+    """margin is the distance of the interval from zero, below zero where it holds zero: from center and half-width, as the interval's
+    expression would stand in it many times."""
+    margin = F.least(F.abs("dpsi") - F.hypot(F.col("q"), C.Z95 * F.col("sd")), F.lit(1.0))
+    rows = scored(spark, sf_dir).withColumns({"p_large": F.col("k") % 100 / 100, "anchor": F.col("gene").isin("G3", "G7", "G11"), "margin": margin})
+    return rows.withColumn("score", F.greatest("margin", F.lit(0.0)) * F.col("p_large"))
+
+
+def _candidates(spark, sf_dir):
+    """Rows of the tier high-confidence (an interval apart from zero has a margin above it), without anchors."""
+    return _application(spark, sf_dir).where("margin > 0 and effect and coalesce(sig, true) and not anchor")
 
 
 @query("application_columns", _APP + " SELECT event_id, round(ci_width, 9) AS ci_width, round(abs_dpsi, 9) AS abs_dpsi, round(signed_margin, 9) AS signed_margin, round(score, 9) AS score, anchor FROM s")
 def application_columns(spark, sf_dir):
-    return _application(spark, sf_dir).select("event_id", *(F.round(c, 9).alias(c) for c in ("ci_width", "abs_dpsi", "signed_margin", "score")), "anchor")
+    rows = _application(spark, sf_dir).withColumn("ci_width", F.col("ci.high") - F.col("ci.low"))
+    signed = F.sign("dpsi") * F.greatest("margin", F.lit(0.0))
+    return rows.select("event_id", F.round("ci_width", 9).alias("ci_width"), F.round(F.abs("dpsi"), 9).alias("abs_dpsi"), F.round(signed + 0.0, 9).alias("signed_margin"), F.round("score", 9).alias("score"), "anchor")
 
 
 @query("top_candidates", _APP + " SELECT event_id, gene, round(score, 9) AS score, support FROM s WHERE tier = 'high-confidence' AND NOT anchor AND fdr < 0.5 ORDER BY round(score, 9) DESC, p_large DESC, support DESC, k LIMIT 100")
 def top_candidates(spark, sf_dir):
-    good = _application(spark, sf_dir).where("tier = 'high-confidence' and not anchor and fdr < 0.5").withColumn("score", F.round("score", 9))
+    good = _candidates(spark, sf_dir).where("fdr < 0.5").withColumn("score", F.round("score", 9))
     return good.orderBy(F.desc("score"), F.desc("p_large"), F.desc("support"), "k").limit(100).select("event_id", "gene", "score", "support")
 
 
 @query("candidate_gene_table", _APP + ", g AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY round(score, 9) DESC, p_large DESC, support DESC, k) AS r FROM s WHERE tier = 'high-confidence' AND NOT anchor) SELECT gene, max(CASE WHEN r = 1 THEN event_id END) AS event_id, round(max(score), 9) AS max_score, round(max(abs_dpsi), 9) AS max_abs_dpsi, round(max(CASE WHEN r = 1 THEN dpsi END), 9) AS best_dpsi, min(fdr) AS min_fdr, max(support) AS max_support, count(*) AS events FROM g GROUP BY gene ORDER BY max_score DESC, max_support DESC, gene LIMIT 30")
 def candidate_gene_table(spark, sf_dir):
-    good = _application(spark, sf_dir).where("tier = 'high-confidence' and not anchor")
+    good = _candidates(spark, sf_dir).select("gene", "event_id", "k", "support", "fdr", "p_large", "dpsi", "score", F.abs("dpsi").alias("abs_dpsi"))
     first = F.struct(F.round("score", 9).alias("a"), "p_large", "support", (-F.col("k")).alias("b"))
     out = good.groupBy("gene").agg(F.max_by("event_id", first).alias("event_id"), F.round(F.max("score"), 9).alias("max_score"), F.round(F.max("abs_dpsi"), 9).alias("max_abs_dpsi"), F.round(F.max_by("dpsi", first), 9).alias("best_dpsi"), F.min("fdr").alias("min_fdr"), F.max("support").alias("max_support"), F.count(F.lit(1)).alias("events"))
     return out.orderBy(F.desc("max_score"), F.desc("max_support"), "gene").limit(30)

@@ -51,7 +51,7 @@ def suppa_tag(spark, sf_dir):
     return _rows(spark, sf_dir).select("event_id", P.event_type_of_tag(F.col("tagged")).alias("event_type"))
 
 
-@query("csv_guard", _SQL + r" SELECT event_id, CASE WHEN regexp_matches(cell, '^[=+\-@\t\r]') THEN '''' || cell ELSE cell END AS cell FROM f")
+@query("csv_guard", _SQL + r" SELECT event_id, CASE WHEN regexp_matches(cell, '^[=+\-@\t\r\n'']') THEN '''' || cell ELSE cell END AS cell FROM f")
 def csv_guard(spark, sf_dir):
     return _rows(spark, sf_dir).select("event_id", P.safe_cell(F.col("cell")).alias("cell"))
 
@@ -74,3 +74,16 @@ def float_na(spark, sf_dir):
 @query("betas_sd", _SQL + " SELECT event_id, round(CASE WHEN inc1 <= exc1 THEN (exc1 - inc1) / 100e0 / (2 * 1.959963984540054e0) END, 9) AS sd FROM f")
 def betas_sd(spark, sf_dir):
     return _rows(spark, sf_dir).select("event_id", F.round(P.interval_std(F.col("inc1") / 100, F.col("exc1") / 100), 9).alias("sd"))
+
+
+@query("csv_restore", _SQL + " SELECT event_id, cell FROM f")
+def csv_restore(spark, sf_dir):
+    """What the guard was given comes back."""
+    return _rows(spark, sf_dir).select("event_id", P.restored_cell(P.safe_cell(F.col("cell"))).alias("cell"))
+
+
+@query("region_strings", sql("iv") + " SELECT id, 'chr' || chrom AS chrom, s, e FROM iv")
+def region_strings(spark, sf_dir):
+    """Places written as text with thousands separated, and read again."""
+    rows = view(spark, sf_dir, "iv").select("id", P.region(F.format_string("chr%d:%,d-%,d", F.col("chrom"), F.col("s") + 1, F.col("e"))).alias("r"))
+    return rows.select("id", "r.chrom", "r.s", "r.e")

@@ -229,3 +229,84 @@ def test_merge_nearby_reads_all_intervals(spark):
     kept = QUERIES["merge_nearby"](spark, DATA).groupBy("locus").agg(F.max("je").alias("je")).collect()
     ends = {r.chrom: r.e for r in view(spark, DATA, "iv").groupBy("chrom").agg(F.max("e").alias("e")).collect()}
     assert len(kept) == len(ends) and all(ends[r.locus] - r.je <= 20 for r in kept)
+
+
+def test_fastq_by_line_numbers(spark, tmp_path):
+    """Qualities that begin with @ or +, several files and blocks, compressed or not; nothing is lost."""
+    import gzip
+
+    want = []
+    for f in range(3):
+        text = ""
+        for k in range(400):
+            seq, quality = "acgt" * (1 + k % 5), "@+I#" * (1 + k % 5)
+            want.append((f"r{f}_{k}", seq.upper(), quality))
+            text += f"@r{f}_{k} more\n{seq}\n+\n{quality}\n"
+        if f == 2:
+            (tmp_path / "c.fq.gz").write_bytes(gzip.compress(text.encode()))
+        else:
+            (tmp_path / f"{f}.fq").write_text(text.replace("\n", "\r\n") if f else text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = genomics.fastq(spark, str(tmp_path))
+        assert rows.rdd.getNumPartitions() > 0 and sorted(map(tuple, rows.collect())) == sorted(want)
+        kept = genomics.fastq(spark, str(tmp_path), min_length=8, trim=10).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    # The last base of each group of four has quality 2.
+    assert sorted(r.sequence for r in kept) == sorted(s[:-1] for _, s, _ in want if len(s) > 8)
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.fq").write_text("@r\nAC\n+\nI\n")
+    with pytest.raises(Exception, match="no FASTQ record"):
+        genomics.fastq(spark, str(tmp_path / "bad")).collect()
+
+
+def test_genes_of_a_gtf(spark, tmp_path):
+    line = lambda feature, s, e, info: f"chr1\tx\t{feature}\t{s}\t{e}\t.\t+\t.\t{info}\n"
+    t1, g1 = 'gene_id "G1"; gene_name "Abc"; transcript_id "T1";', 'gene_id "G1"; gene_name "Abc";'
+    (tmp_path / "a.gtf").write_text("#head\n" + line("exon", 301, 400, t1) + line("gene", 101, 900, g1) + line("exon", 101, 200, t1) + line("transcript", 101, 450, t1) + line("gene", 1, 9, g1) + "short\tline\n" + line("exon", 5, 9, 'gene_id "G2"; transcript_id "T2";'))
+    got = {r.transcript_id: r for r in genomics.gtf_transcripts(spark, str(tmp_path / "a.gtf")).collect()}
+    assert (got["T1"].s, got["T1"].e, [tuple(x) for x in got["T1"].exons], got["T1"].gene_name) == (100, 450, [(100, 200), (300, 400)], "Abc")
+    assert [tuple(r) for r in genomics.lookup_gene(spark, str(tmp_path / "a.gtf"), "aBC").collect()] == [("chr1", 100, 900, "+", "Abc", "G1")]
+    assert genomics.lookup_gene(spark, str(tmp_path / "a.gtf"), "none").count() == 0
+    assert [r.transcript_id for r in genomics.gene_transcripts(spark, str(tmp_path / "a.gtf"), "g2").collect()] == ["T2"]
+    assert genomics.gene_transcripts(spark, str(tmp_path / "a.gtf"), "g1", "chr2").count() == 0
+
+
+def test_region_strings(spark):
+    from spliceflow.functions import parsing
+
+    rows = spark.createDataFrame([("chr17:7,668,402-7,687,538",), ("HLA:A:1-2",), ("chr1",), ("chr1:5",), (None,)], "t string").select(parsing.region(F.col("t")).alias("r")).collect()
+    assert [r.r and tuple(r.r) for r in rows] == [("chr17", 7668401, 7687538), ("HLA:A", 0, 2), None, None, None]
+
+
+def test_event_tables_round_trip(spark, tmp_path):
+    rows = [("=E1", "SE", 0.25, None, True), ("'q", "RI", None, "-x", False), ("\tT", "SE", 1.0, "NAB", None)]
+    table = spark.createDataFrame(rows, "event_id string, event_type string, psi double, note string, kept boolean")
+    genomics.write_report(table.where("event_type = 'SE'").coalesce(1).where("event_id = '=E1'"), str(tmp_path / "r"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ["event_id\tevent_type\tpsi\tnote\tkept", "'=E1\tSE\t0.250000\tNA\tyes"]
+    genomics.write_tsv(table.where("event_id <> '\tT'"), str(tmp_path / "t"))
+    back = genomics.read_events_tsv(spark, str(tmp_path / "t"), ("psi",)).select("event_id", "event_type", "psi", "note")
+    assert sorted(map(str, map(tuple, back.collect()))) == sorted(str(r[:4]) for r in rows[:2])
+    with pytest.raises(ValueError):
+        genomics.read_events_tsv(spark, str(tmp_path / "t"), needed=("gene",))
+
+
+def test_calibrator_files():
+    made = C.Calibrator(0.3, {"<20": float("inf"), "250+": 0.2}, {"SE": 0.4}, {"SE|250+": 0.1})
+    assert C.Calibrator.from_json(made.to_json()) == made
+    assert C.Calibrator.from_json('{"q_global": 0.5, "q_by_bin": {"20-49": 0.25}}') == C.Calibrator(0.5, {"20-49": 0.25})
+    for bad in ('{"version": 3, "q_global": 1}', '{"q_global": -1}', '{"q_global": 1, "q_by_bin": {"x": 1}}'):
+        with pytest.raises(ValueError):
+            C.Calibrator.from_json(bad)
+
+
+def test_region_reads_reach_the_scan(spark, tmp_path):
+    rows = [("chr1", 10, 0, 30), ("chr1", 20, 4, 30), ("chr1", 99, 0, 30), ("chr2", 10, 0, 30), ("chr1", 15, 0, 0)]
+    spark.createDataFrame(rows, "chrom string, start long, flag int, mapq int").write.parquet(str(tmp_path / "al"))
+    found = genomics.region_reads(spark.read.parquet(str(tmp_path / "al")), "chr1", 10, 99)
+    assert [r.start for r in found.collect()] == [10]
+    assert "EqualTo(chrom,chr1)" in found._jdf.queryExecution().toString()
