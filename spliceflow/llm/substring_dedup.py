@@ -28,9 +28,9 @@ MAX_WORDS = 20
 WHOLE_WORDS = 12
 NEAR = 2
 #: Bytes of text whose runs a task looks at together: of equal ones only the first goes on to be compared with those of other tasks.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
 #: Bytes of text that are cut into sentences at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 RUNS = "high long, low long, doc_id long, text_hash long, first int, n int, repeated boolean"
 
 
@@ -170,6 +170,11 @@ def _runs_of(ids: list[int | None], hashes: list[int], texts: list[bytes]) -> pa
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, spans): for each document with non-first repeated runs, their first sentences and lengths."""
 
+    def told(ids: list, hashes: list, texts: list) -> Iterator[pa.RecordBatch]:
+        found = _runs_of(ids, hashes, texts)
+        for at in range(0, found.num_rows, 50_000):
+            yield found.slice(at, 50_000)
+
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, texts, size = [], [], [], 0
         for batch in batches:
@@ -179,9 +184,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 texts.append(text)
                 size += len(text)
                 if size >= CHUNK_BYTES:
-                    yield _runs_of(ids, hashes, texts)
+                    yield from told(ids, hashes, texts)
                     ids, hashes, texts, size = [], [], [], 0
-        yield _runs_of(ids, hashes, texts)
+        yield from told(ids, hashes, texts)
 
     read = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("binary").alias("text"))
     # One exchange of the runs. A digest comes at most once from each chunk, however many documents of it hold the run. Rows that repeat
