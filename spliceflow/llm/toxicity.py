@@ -42,6 +42,8 @@ MAX_E = 0.05
 CUTOFF = 0.3
 #: Lengths of a word's beginnings: each up to 8, then farther apart, so that all of a word's tokens are at most a few times its length.
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 10, 12, 16, 24, 32, 64, 128)
+#: Tokens that a task counts before it hands them on.
+COUNTED = 150_000
 #: Ends the token of a whole word; no word holds it.
 WHOLE = "$"
 #: Toxic documents that a token must be in to be taken into the model as a sign of toxicity, and documents for one of the opposite.
@@ -176,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for text, toxic, part in zip(batch["text"], batch["toxic"], batch["part"], strict=True):
                 # A token counts once for each document: one long text can't make a token toxic. The empty token counts documents.
                 seen[2 * part + toxic].update({"", *(token for word in set(words_of(text)) for token in tokens(word))})
-            if sum(map(len, seen)) > 300_000:
+            if sum(map(len, seen)) > COUNTED:
                 yield _counted(seen)
                 seen = tuple(Counter() for _ in range(4))
         yield _counted(seen)
@@ -228,7 +230,8 @@ def _model(scores: dict, clean: list[str], base: dict, total: float) -> Model:
 
 
 def _counted(seen: tuple) -> pd.DataFrame:
-    return frame([(w, *(c[w] for c in seen)) for w in set().union(*seen)], COUNTS)
+    words = list(set().union(*seen))
+    return pd.DataFrame({"token": pd.Series(words, dtype=object), **{n: np.fromiter((c[w] for w in words), dtype=np.int64, count=len(words)) for n, c in zip(("n0", "n1", "c0", "c1"), seen, strict=True)}})
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
