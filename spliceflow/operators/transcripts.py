@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spliceflow.operators.intervals import overlap_join
+
 
 def chains(exons: DataFrame) -> DataFrame:
     """A row for each transcript: gene, strand, exons (sorted array of s, e), introns (array), chain (text of introns), length, span."""
@@ -83,16 +85,56 @@ def merge_close(exons: Column, gap: int) -> Column:
     return F.aggregate(exons, empty, lambda a, x: F.when((F.size(a) > 0) & (x["s"] - F.element_at(a, -1)["e"] <= gap), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["s"].alias("s"), F.greatest(F.element_at(a, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(a, F.array(x))))
 
 
-def classify(transcripts: DataFrame, reference: DataFrame) -> DataFrame:
-    """transcript_id and category: single_exon, exact_match (of the chain), novel_combination (all junctions known), novel_exon, novel_junction."""
-    known_chains = reference.where("chain <> ''").select("gene_id", "chain").distinct().withColumn("same", F.lit(True))
+def classify(transcripts: DataFrame, reference: DataFrame, tolerance: int = 5, spare: int = 2) -> DataFrame:
+    """gene_id, transcript_id and category against a reference of chains().
+
+    single_exon; exact_match (the reference's chain, one whose junctions are all within the tolerance, or one of at least two junctions
+    that the transcript holds with at most `spare` others); novel_combination (all junctions known); novel_exon (an exon that overlaps none
+    of the gene's reference exons); novel_junction. Every step is an equi or overlap join on the gene; no gene's exons are gathered.
+    """
+    ids = ["gene_id", "transcript_id"]
+    multi = transcripts.where("chain <> ''")
+    known = reference.where("chain <> ''").select("gene_id", "chain", "introns").dropDuplicates(["gene_id", "chain"])
+    same = multi.join(known.select("gene_id", "chain"), ["gene_id", "chain"], "left_semi").select(*ids)
+    # Chains of as many junctions whose first junctions are near.
+    w = 2 * tolerance + 1
+    at = lambda c: F.col(c)[0]["s"]
+    a = multi.select(*ids, "introns", F.size("introns").alias("n"), F.floor(at("introns") / w).alias("bin"))
+    b = known.select("gene_id", F.col("introns").alias("other"), F.size("introns").alias("n"), F.explode(F.array_distinct(F.array(F.floor((at("introns") - tolerance) / w), F.floor((at("introns") + tolerance) / w)))).alias("bin"))
+    close = F.forall(F.zip_with("introns", "other", lambda x, y: (F.abs(x["s"] - y["s"]) <= tolerance) & (F.abs(x["e"] - y["e"]) <= tolerance)), lambda ok: ok)
+    near = a.join(b, ["gene_id", "n", "bin"]).where(close).select(*ids)
+    # A reference chain within the transcript's shows by its first junction.
+    each = multi.select(*ids, "introns", F.explode("introns").alias("i"))
+    held = known.where(F.size("introns") >= 2).select("gene_id", F.col("introns").alias("other"), F.col("introns")[0].alias("i"))
+    inside = (F.size("other") >= F.size("introns") - spare) & (F.size(F.array_except("other", "introns")) == 0)
+    superset = each.join(held, ["gene_id", "i"]).where(inside).select(*ids)
+    exact = same.union(near).union(superset).distinct().withColumn("exact", F.lit(True))
     known_j = reference.select("gene_id", F.explode("introns").alias("i")).distinct().withColumn("hit", F.lit(1))
-    hits = transcripts.select("gene_id", "transcript_id", F.explode("introns").alias("i")).join(known_j, ["gene_id", "i"], "left").groupBy("gene_id", "transcript_id").agg(F.count("hit").alias("known"))
-    spans = reference.groupBy("gene_id").agg(F.flatten(F.collect_list("exons")).alias("all"))
-    out = transcripts.join(known_chains, ["gene_id", "chain"], "left").join(hits, ["gene_id", "transcript_id"], "left").join(spans, "gene_id", "left")
-    novel_exon = F.exists("exons", lambda x: ~F.exists(F.coalesce("all", F.slice(F.col("exons"), 1, 0)), lambda r: (r["s"] < x["e"]) & (x["s"] < r["e"])))
-    category = F.when(F.size("exons") < 2, "single_exon").when(F.col("same"), "exact_match").when(F.col("known") == F.size("introns"), "novel_combination").when(novel_exon, "novel_exon").otherwise("novel_junction")
-    return out.select("gene_id", "transcript_id", category.alias("category"))
+    hits = each.select(*ids, "i").join(known_j, ["gene_id", "i"], "left").groupBy(*ids).agg(F.count("hit").alias("known"))
+    spans = lambda rows: rows.select("gene_id", F.explode("exons").alias("x")).select("gene_id", "x.s", "x.e").distinct()
+    own = spans(multi)
+    seen = overlap_join(own, spans(reference).withColumnsRenamed({"s": "rs", "e": "re"}), ["gene_id"]).select("gene_id", "s", "e").distinct()
+    novel = multi.select(*ids, F.explode("exons").alias("x")).select(*ids, "x.s", "x.e").join(seen, ["gene_id", "s", "e"], "left_anti").select(*ids).distinct().withColumn("novel", F.lit(True))
+    out = transcripts.select(*ids, F.size("introns").alias("n")).join(exact, ids, "left").join(hits, ids, "left").join(novel, ids, "left")
+    category = F.when(F.col("n") == 0, "single_exon").when(F.col("exact"), "exact_match").when(F.col("known") == F.col("n"), "novel_combination").when(F.col("novel"), "novel_exon").otherwise("novel_junction")
+    return out.select(*ids, category.alias("category"))
+
+
+def merge_compatible(transcripts: DataFrame, weight: str, safe: str) -> DataFrame:
+    """Transcripts of a gene with the same exons become one: summed weight, safe if all are."""
+    return transcripts.groupBy("gene_id", "exons").agg(F.sum(weight).alias("weight"), F.bool_and(safe).alias("safe"), F.count(F.lit(1)).alias("members"), F.min("transcript_id").alias("transcript_id"))
+
+
+def junction_support(transcripts: DataFrame, junctions: DataFrame) -> DataFrame:
+    """gene_id, transcript_id and what junctions(gene_id, js, je, count, canonical) say for its introns: number, least, mean and greatest
+    support, how many have none, share of canonical ones, and the balance (least over greatest)."""
+    each = transcripts.select("gene_id", "transcript_id", F.explode("introns").alias("i")).select("gene_id", "transcript_id", F.col("i.s").alias("js"), F.col("i.e").alias("je"))
+    met = each.join(junctions.select("gene_id", "js", "je", "count", "canonical"), ["gene_id", "js", "je"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    out = met.groupBy("gene_id", "transcript_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("count").alias("least"), F.avg("count").alias("mean"), F.max("count").alias("most"),
+        F.count(F.when(F.col("count") == 0, 1)).alias("unsupported"), F.avg(F.coalesce(F.col("canonical").cast("int"), F.lit(0))).alias("canonical"),
+    )
+    return out.withColumn("balance", F.coalesce(F.try_divide("least", "most"), F.lit(0.0)))
 
 
 def sensitivity_precision(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:

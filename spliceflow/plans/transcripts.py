@@ -93,14 +93,31 @@ _REF = _T + """, ref AS (SELECT * FROM t WHERE tx % 3 = 0), qry AS (SELECT * FRO
 
 
 @query("classify_isoforms", _REF + """, h AS (SELECT n.transcript_id, count(ri.js) AS known, count(*) AS n FROM near n LEFT JOIN ri ON ri.gene_id = n.gene_id AND ri.js = n.e AND ri.je = n.down_s WHERE n.down_s IS NOT NULL GROUP BY n.transcript_id),
-nx AS (SELECT DISTINCT transcript_id FROM exons x WHERE NOT EXISTS (SELECT 1 FROM rx WHERE rx.gene_id = x.gene_id AND rx.s < x.e AND x.s < rx.e))
-SELECT qry.gene_id, qry.transcript_id, CASE WHEN n_exons < 2 THEN 'single_exon' WHEN EXISTS (SELECT 1 FROM ref WHERE ref.gene_id = qry.gene_id AND ref.chain = qry.chain AND ref.chain <> '') THEN 'exact_match' WHEN h.known = h.n THEN 'novel_combination' WHEN nx.transcript_id IS NOT NULL THEN 'novel_exon' ELSE 'novel_junction' END AS category
-FROM qry LEFT JOIN h USING (transcript_id) LEFT JOIN nx USING (transcript_id)""")
+nx AS (SELECT DISTINCT transcript_id FROM exons x WHERE NOT EXISTS (SELECT 1 FROM rx WHERE rx.gene_id = x.gene_id AND rx.s < x.e AND x.s < rx.e)),
+l AS (SELECT gene_id, transcript_id, tx, list(e ORDER BY s) AS js, list(down_s ORDER BY s) AS je, list(e || '-' || down_s ORDER BY s) AS ch FROM near WHERE down_s IS NOT NULL GROUP BY 1, 2, 3),
+ex AS (SELECT DISTINCT q.transcript_id FROM l q JOIN l r ON q.gene_id = r.gene_id AND q.tx % 3 <> 0 AND r.tx % 3 = 0 WHERE (len(q.js) = len(r.js) AND len(list_filter(range(1, len(q.js) + 1), lambda i: abs(q.js[i] - r.js[i]) > 5 OR abs(q.je[i] - r.je[i]) > 5)) = 0) OR (len(r.js) >= 2 AND len(r.js) >= len(q.js) - 2 AND list_has_all(q.ch, r.ch)))
+SELECT qry.gene_id, qry.transcript_id, CASE WHEN n_exons < 2 THEN 'single_exon' WHEN ex.transcript_id IS NOT NULL THEN 'exact_match' WHEN h.known = h.n THEN 'novel_combination' WHEN nx.transcript_id IS NOT NULL THEN 'novel_exon' ELSE 'novel_junction' END AS category
+FROM qry LEFT JOIN h USING (transcript_id) LEFT JOIN nx USING (transcript_id) LEFT JOIN ex USING (transcript_id)""")
 def classify_isoforms(spark, sf_dir):
     rows = _transcripts(spark, sf_dir)
     return T.classify(rows.where("tx % 3 <> 0"), rows.where("tx % 3 = 0"))
 
 
+@query("merge_compatible", _T + ", x AS (SELECT tx, string_agg(s || '-' || e, ',' ORDER BY s) AS ex FROM exons GROUP BY tx) SELECT gene_id, min(transcript_id) AS transcript_id, CAST(sum(cov) AS BIGINT) AS weight, bool_and(tx % 5 <> 0) AS safe, count(*) AS members FROM t JOIN x USING (tx) GROUP BY gene_id, ex")
+def merge_compatible(spark, sf_dir):
+    return T.merge_compatible(_transcripts(spark, sf_dir).withColumn("safe", F.col("tx") % 5 != 0), "cov", "safe").select("gene_id", "transcript_id", "weight", "safe", "members")
+
+
+@query("junction_support", _T + """, i AS (SELECT gene_id, transcript_id, tx, e AS js, down_s AS je FROM near WHERE down_s IS NOT NULL), j AS (SELECT gene_id, js, je, count(*) AS cnt, js % 4 <> 0 AS canonical FROM i WHERE tx % 3 <> 0 GROUP BY 1, 2, 3),
+m AS (SELECT i.gene_id, i.transcript_id, coalesce(cnt, 0) AS c, coalesce(canonical::INT, 0) AS k FROM i LEFT JOIN j USING (gene_id, js, je))
+SELECT gene_id, transcript_id, count(*) AS n, min(c) AS least, round(avg(c), 9) AS mean, max(c) AS most, count(CASE WHEN c = 0 THEN 1 END) AS unsupported, round(avg(k), 9) AS canonical, round(CASE WHEN max(c) > 0 THEN min(c) / max(c) ELSE 0 END, 9) AS balance FROM m GROUP BY 1, 2""")
+def junction_support(spark, sf_dir):
+    """Two of three transcripts are the evidence for all."""
+    rows = _transcripts(spark, sf_dir)
+    j = rows.where("tx % 3 <> 0").select("gene_id", F.explode("introns").alias("i")).groupBy("gene_id", F.col("i.s").alias("js"), F.col("i.e").alias("je")).agg(F.count(F.lit(1)).alias("count")).withColumn("canonical", F.col("js") % 4 != 0)
+    return T.junction_support(rows, j).withColumns({c: F.round(c, 9) for c in ("mean", "canonical", "balance")})
+
+
 @query("gtf_sens_prec", _REF + """, a AS (SELECT DISTINCT gene_id, chain FROM qry WHERE chain <> ''), b AS (SELECT DISTINCT gene_id, chain FROM ref WHERE chain <> '') SELECT (SELECT count(*) FROM a JOIN b USING (gene_id, chain)) AS hits, (SELECT count(*) FROM b) AS n_truth, (SELECT count(*) FROM a) AS n_found, round((SELECT count(*) FROM a JOIN b USING (gene_id, chain)) / (SELECT count(*) FROM b), 9) AS sensitivity, round((SELECT count(*) FROM a JOIN b USING (gene_id, chain)) / (SELECT count(*) FROM a), 9) AS precision""")
 def gtf_sens_prec(spark, sf_dir):
     rows = _transcripts(spark, sf_dir).where("chain <> ''")
