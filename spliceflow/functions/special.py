@@ -113,3 +113,13 @@ def welch_interval(mean1: Column, var1: Column, n1: Column, mean2: Column, var2:
         return pd.DataFrame({"low": m1 - m2 - half, "high": m1 - m2 + half})
 
     return of(mean1, var1, n1, mean2, var2, n2)
+
+
+def normal_tail(x: Column) -> Column:
+    """Chance that a standard normal number is above x."""
+
+    @F.pandas_udf("double")
+    def of(x: pd.Series) -> pd.Series:
+        return pd.Series(1 - normal_cdf(x.to_numpy(dtype=float)))
+
+    return of(x)

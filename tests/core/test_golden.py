@@ -310,3 +310,67 @@ def test_region_reads_reach_the_scan(spark, tmp_path):
     found = genomics.region_reads(spark.read.parquet(str(tmp_path / "al")), "chr1", 10, 99)
     assert [r.start for r in found.collect()] == [10]
     assert "EqualTo(chrom,chr1)" in found._jdf.queryExecution().toString()
+
+
+def test_differential_of_the_example(spark):
+    """The published four-event example: sampled, so within 0.01 of the closed form; tiers are the same."""
+    from spliceflow.operators import commands
+
+    rows = [("STRONG_UP", 270, 30, 90, 210, 0.0008), ("STRONG_DOWN", 40, 160, 180, 20, 0.0011), ("NO_CHANGE", 150, 150, 150, 150, 0.82), ("LOW_COVERAGE", 14, 6, 7, 13, 0.04), ("FEW", 3, 2, 50, 50, 0.5)]
+    table = spark.createDataFrame([(n, "SE", "g", "chr1", [a], [b], [c], [d], 1.0, 1.0, f, 0.5) for n, a, b, c, d, f in rows], "event_id string, event_type string, gene string, chrom string, inc1 array<int>, exc1 array<int>, inc2 array<int>, exc2 array<int>, inc_len double, skip_len double, fdr double, dpsi double")
+    got = {r.event_id: r for r in commands.differential(table).collect()}
+    want = {"STRONG_UP": (0.598, 0.2484, 0.9477, "high-confidence"), "STRONG_DOWN": (-0.6965, -1.0, -0.3455, "high-confidence"), "NO_CHANGE": (0.0, -0.3532, 0.3532, "not-significant"), "LOW_COVERAGE": (0.3333, -0.1065, 0.7732, "caller-significant-only")}
+    assert set(got) == set(want)
+    for name, (dpsi, low, high, tier) in want.items():
+        r = got[name]
+        assert abs(r.dpsi - dpsi) < 0.012 and abs(r.ci_low - low) < 0.015 and abs(r.ci_high - high) < 0.015 and r.tier == tier
+        assert r.differential_model == "sum" and abs(r.dpsi - (r.ctrl_psi - r.treat_psi)) < 1e-9
+    swapped = {r.event_id: r for r in commands.differential(table, swap_groups=True).collect()}
+    assert abs(swapped["STRONG_UP"].dpsi + 0.598) < 0.012 and swapped["STRONG_UP"].rmats_dpsi == -0.5
+    assert commands.differential(table.limit(0)).columns == list(commands.DIFFERENTIAL)
+    with pytest.raises(ValueError):
+        commands.differential(table, effect_cutoff=-1)
+    one = {r.event_id: r for r in commands.psi(table, "s", replicate=0).collect()}
+    assert one["FEW"].inc_count == 3 and one["FEW"].mode == "replicate" and {r.mode for r in commands.psi(table, "s", replicate=3).collect()} == {"sum"}
+
+
+def test_probability_beyond(spark):
+    from spliceflow.operators import commands
+
+    cases = [(0.2, 0.1), (-0.3, 0.05), (0.0, 1.0), (0.1, 0.0), (float("nan"), 1.0)]
+    got = spark.createDataFrame(cases, "m double, s double").select(commands.probability_beyond(F.col("m"), F.col("s"), 0.1).alias("p")).collect()
+    cdf = lambda x: 0.5 * (1 + math.erf(x / math.sqrt(2)))
+    for (m, s), r in zip(cases, got, strict=True):
+        want = 1 - cdf((0.1 - m) / s) + cdf((-0.1 - m) / s) if s > 0 and m == m else None
+        assert (r.p is None) == (want is None) and (want is None or abs(r.p - want) < 1e-6)
+
+
+def test_running_sums_of_any_numbers(spark):
+    from spliceflow.operators import ranks
+
+    values = [-1e300, -3.5, -3.4999, -1e-300, 0.0, 5e-324, 1e-9, 0.5, 0.5000001, 7.0, 1e300, float("inf"), float("-inf")]
+    rows = [(g, v, k + 1) for g in ("a", None) for k, v in enumerate(values)]
+    got = {(r.g, r.v): (r.before_n, r.total_n) for r in ranks.running(spark.createDataFrame(rows, "g string, v double, n long"), ["g"], "v", "n").collect()}
+    for g, v, _ in rows:
+        assert got[g, v] == (sum(n for h, w, n in rows if h == g and w < v), sum(n for h, _, n in rows if h == g))
+
+
+def test_simplified_graph(spark):
+    """A tip, a weak arm of a bubble and a chain of low coverage go; the main chain stays."""
+    from spliceflow.operators import debruijn
+
+    def kmers(seq, n):
+        return {seq[i : i + 5]: n for i in range(len(seq) - 4)}
+
+    main = "ACGTTGCAAGGCTTACCGATAGTCCA"
+    table = {**kmers("GGATC", 1), **kmers(main[:10] + "A" + main[11:16], 2), **kmers("TTTTTGGGGG", 1), **kmers(main, 40)}
+    rows = spark.createDataFrame(list(table.items()), "kmer string, n long")
+    left = {r.kmer for r in debruijn.simplified(rows, 5, least=2.0, ratio=0.2).collect()}
+    assert left == set(kmers(main, 40))
+
+
+def test_unsound_graphs_are_named(spark):
+    from spliceflow.operators import paths
+
+    edges = spark.createDataFrame([(1, 1, 2), (1, 2, 3), (1, 2, 3), (2, 5, 4), (2, 6, 6), (3, 1, 2)], "locus long, a int, b int")
+    assert sorted(map(tuple, paths.invalid(edges, ["locus"]).collect())) == [(1, "twice", 1), (2, "backward", 2)]
