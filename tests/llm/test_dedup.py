@@ -75,6 +75,22 @@ def test_simhash_groups(spark, monkeypatch, large):
     assert simhash_dedup.simhash_groups(docs.limit(0)).count() == 0
 
 
+def test_two_rings_hold_every_pair_within_two_bits(spark):
+    """A fingerprint and all that differ from it in one or two bits have four equal segments in common."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = []
+    for _ in range(3):
+        base = rng.getrandbits(64)
+        flips = [1 << i for i in range(64)] + [(1 << i) | (1 << j) for i, j in itertools.combinations(range(64), 2)]
+        rows += [(signed(base), signed(base ^ x)) for x in flips]
+    keys = lambda c: F.array(*simhash_dedup._chain_keys(F.col(c)))
+    pairs = spark.createDataFrame(rows, "a long, b long").select(F.arrays_overlap(keys("a"), keys("b")).alias("met"))
+    assert pairs.count() == 3 * 2080 and pairs.where("not met").count() == 0
+
+
 def test_embedding_groups(spark, monkeypatch):
     rng = np.random.default_rng(2)
     centers = rng.normal(size=(40, 16))

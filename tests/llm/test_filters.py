@@ -274,6 +274,23 @@ def test_pipeline(spark):
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows.collect()) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in packing.pieces(after).collect())
 
 
+def test_pipeline_of_odd_rows(spark):
+    """Nulls in all columns, repeated rows and ids, an empty text, a very long one and columns that the operators use inside."""
+    from spliceflow.llm.common import cut
+
+    sf_dir = "/root/testdata/sf0.001"
+    long = " ".join(f"w{k % 9973}x" for k in range(60_000))
+    rows = [(1, "A plain text of a few words.", "en", "s", 1), (1, "Another text under the same id, longer than the first.", None, "s", 2), (None, None, None, None, None), (None, "", "en", None, 0), (None, "No id but words that nobody else has.", "en", "s", 3), (4, long, "en", "s", 4), (4, long, "en", "s", 4), (5, None, "en", "s", None)]
+    docs = spark.createDataFrame([(*r, "d", "h", 7, "w") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, doc string, hash string, __spans int, fp string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = cut(stage(spark, docs, sf_dir))
+        assert kept.columns == docs.columns and stage(spark, docs.limit(0), sf_dir).count() == 0
+        docs = kept
+    assert sorted(str((r.doc_id, (r.text or "")[:20])) for r in docs.collect()) == sorted(str((i, (t or "")[:20])) for i, t in [(1, "A plain text of a few words."), (1, rows[1][1]), (4, long), (5, None), (None, rows[4][1])])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert {r.doc_id for r in packed.collect()} == {1, 4, 5, None} and corpus_pipeline.pack(spark, docs.limit(0), sf_dir).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql(spark, duck, name):
     from conftest import DATA
