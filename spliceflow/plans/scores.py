@@ -97,10 +97,10 @@ def gene_list(spark, sf_dir):
 
 
 _NEARBY = _IV.replace("WITH ", "WITH RECURSIVE ", 1) + """, r AS (SELECT CAST(chrom AS BIGINT) AS locus, s AS js, e AS je, id % 50 AS cnt, id FROM iv),
-ja AS (SELECT DISTINCT locus, je FROM r), jn AS (SELECT a.locus, a.je, min(b.je) AS nx FROM ja a JOIN ja b ON a.locus = b.locus AND b.je > a.je + 20 AND b.je < a.je + 10000 GROUP BY 1, 2),
-wa AS (SELECT locus, min(je) AS c FROM ja GROUP BY locus UNION ALL SELECT wa.locus, nx FROM wa JOIN jn ON wa.locus = jn.locus AND wa.c = jn.je),
+ja AS MATERIALIZED (SELECT locus, je, coalesce(je - lag(je) OVER (PARTITION BY locus ORDER BY je) > 20, true) AS begins FROM (SELECT DISTINCT locus, je FROM r)), jn AS MATERIALIZED (SELECT a.locus, a.je, min(b.je) AS nx FROM ja a JOIN ja b ON a.locus = b.locus AND b.je > a.je + 20 AND b.je <= a.je + 500 GROUP BY 1, 2), jk AS MATERIALIZED (SELECT jn.* FROM jn JOIN ja ON ja.locus = jn.locus AND ja.je = nx AND NOT begins),
+wa AS (SELECT locus, je AS c FROM ja WHERE begins UNION ALL SELECT wa.locus, nx FROM wa JOIN jk ON wa.locus = jk.locus AND wa.c = jk.je),
 p AS (SELECT r.*, m.c FROM r JOIN (SELECT ja.locus, je, max(c) AS c FROM ja JOIN wa ON ja.locus = wa.locus AND c <= je AND c >= je - 20 GROUP BY 1, 2) m USING (locus, je)),
-da AS (SELECT DISTINCT locus, c, js FROM p), dn AS (SELECT a.locus, a.c, a.js, min(b.js) AS nx FROM da a JOIN da b ON a.locus = b.locus AND a.c = b.c AND b.js > a.js + 20 GROUP BY 1, 2, 3),
+da AS MATERIALIZED (SELECT DISTINCT locus, c, js FROM p), dn AS MATERIALIZED (SELECT a.locus, a.c, a.js, min(b.js) AS nx FROM da a JOIN da b ON a.locus = b.locus AND a.c = b.c AND b.js > a.js + 20 GROUP BY 1, 2, 3),
 wd AS (SELECT locus, c, min(js) AS d FROM da GROUP BY locus, c UNION ALL SELECT wd.locus, wd.c, nx FROM wd JOIN dn ON wd.locus = dn.locus AND wd.c = dn.c AND wd.d = dn.js),
 q AS (SELECT p.*, m.d FROM p JOIN (SELECT da.locus, da.c, js, max(d) AS d FROM da JOIN wd ON da.locus = wd.locus AND da.c = wd.c AND d <= js GROUP BY 1, 2, 3) m USING (locus, c, js)),
 k AS (SELECT *, row_number() OVER (PARTITION BY locus, c, d ORDER BY cnt DESC, js, je) AS nth FROM q)

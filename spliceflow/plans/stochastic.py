@@ -56,13 +56,14 @@ def bootstrap_coverage(spark, sf_dir):
     return posterior.bootstrap_interval(rows, ["event_type"], "hit", 100)
 
 
-@query("mcnemar_p")
+@query("mcnemar_p", sql("scored") + """, r AS (SELECT grp, (score >= 0.6) = (label = 1) AS x, (score >= 0.4) = (label = 1) AS y FROM scored), n AS (SELECT grp, CAST(sum((x AND NOT y)::INT) AS BIGINT) AS b, CAST(sum((y AND NOT x)::INT) AS BIGINT) AS c FROM r GROUP BY grp)
+SELECT grp, b, c, round(least(1, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))))), 6) AS p FROM n""")
 def mcnemar_p(spark, sf_dir):
     right = lambda t: (F.col("score") >= t) == (F.col("label") == 1)
     rows = view(spark, sf_dir, "scored").select("grp", right(0.6).alias("x"), right(0.4).alias("y"))
     n = lambda c: F.sum(c.cast("long"))
     counts = rows.groupBy("grp").agg(n(F.col("x") & ~F.col("y")).alias("b"), n(F.col("y") & ~F.col("x")).alias("c"))
-    return counts.withColumn("p", special.mcnemar_p(F.col("b"), F.col("c")))
+    return counts.withColumn("p", F.round(special.mcnemar_p(F.col("b"), F.col("c")), 6))
 
 
 @query("detection_p")
