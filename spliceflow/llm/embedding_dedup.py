@@ -145,14 +145,14 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     finite = F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
     # Equal vectors of a label are one representative with its number of rows; its number is a digest of both, made smaller than 2**63.
-    keyed = cut(rows.select("vec_id", F.when(finite, F.struct("label", "v")).alias("own")).select("vec_id", "own", F.when(F.col("own").isNotNull(), F.xxhash64("own.label", "own.v")).alias("key")))
-    reps = cut(keyed.where("own is not null").groupBy("key").agg(F.first("own").alias("own"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.min("own").alias("lo"), F.max("own").alias("hi")))
+    own = rows.select("vec_id", F.when(finite, F.struct("label", "v")).alias("own"))
+    # A power of two to scale by, which changes no cosine: squares then neither overflow nor vanish.
+    power = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.array_max(F.transform("own.v", lambda x: F.abs(x))))), F.lit(-1022)))
+    keyed = cut(own.select("vec_id", "own", F.when(F.col("own").isNotNull(), F.xxhash64("own.label", "own.v")).alias("key"), power.alias("power")))
+    reps = cut(keyed.where("own is not null").groupBy("key").agg(F.first("own").alias("own"), F.first("power").alias("power"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.min("own").alias("lo"), F.max("own").alias("hi")))
     if reps.where("lo != hi").limit(1).count():
         raise ValueError("two different vectors share a 64-bit hash")
-    # Scaled by a power of two, which changes no cosine: squares neither overflow nor vanish.
-    largest = F.array_max(F.transform("own.v", lambda x: F.abs(x)))
-    power = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(largest)), F.lit(-1022)))
-    reps = reps.withColumn("power", power).select(F.col("key").alias("rep"), F.col("own.label").alias("label"), F.transform("own.v", lambda x: x / F.col("power")).alias("v"), "copies", "least")
+    reps = cut(reps.select(F.col("key").alias("rep"), F.col("own.label").alias("label"), F.transform("own.v", lambda x: x / F.col("power")).alias("v"), "copies", "least"))
     axes = _axes(reps)
     if axes is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
