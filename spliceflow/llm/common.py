@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -62,6 +62,40 @@ def drop_cut(df: DataFrame | None) -> None:
         where.getFileSystem(conf).delete(where, True)
 
 
+def laid_out(rows: DataFrame, *order: str | Column, keep: list[str] | None = None) -> DataFrame:
+    """rows in their global order, written, with the columns part and at added: both grow along the order and at is unique.
+
+    Rows are dealt out by ranges and equal ones by where they were read, so a key with very many rows lies in several parts. keep: the
+    columns to write (all).
+    """
+    spread = rows.withColumn("__read", F.monotonically_increasing_id())
+    by_range = spread.repartitionByRange(*order, "__read").sortWithinPartitions(*order, "__read")
+    return cut(by_range.select(*(keep or rows.columns), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+
+
+def numbered(table: DataFrame, name: str) -> DataFrame:
+    """A table of laid_out() with a column that counts its rows from 0 along the order. There are as many sums as parts."""
+    per = table.groupBy("part").agg(F.count(F.lit(1)).alias("__n"), F.min("at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    handed = per.select("part", (before - F.col("__first")).alias("__shift"))
+    return table.join(F.broadcast(handed), "part").withColumn(name, F.col("at") + F.col("__shift")).drop("__shift")
+
+
+def carried(table: DataFrame, keys: list[str], *columns: str, also: DataFrame | None = None) -> DataFrame:
+    """A table of laid_out(keys, ...) with before_c and total_c for each of columns: the sums of c over a key's rows before and over all.
+
+    A key isn't gathered: each of its parts is summed by itself, and a small table (a row for each key and part) hands on what lies before.
+    also: a table by keys whose columns are added. Keys aren't null.
+    """
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    ahead = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    per = table.groupBy(*keys, "part").agg(*(F.sum(c).alias(c) for c in columns))
+    handed = per.select(*keys, "part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"before_{c}") for c in columns), *(F.sum(c).over(whole).alias(f"total_{c}") for c in columns))
+    handed = handed if also is None else handed.join(also, keys)
+    inside = Window.partitionBy(*keys, "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return table.join(handed, [*keys, "part"]).withColumns({f"before_{c}": F.col(f"before_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum((F.col("u") != F.col("v")).cast("long"))).first())
 

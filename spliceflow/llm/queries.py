@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spliceflow.llm import decontaminate, embedding_dedup, licenses, packing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter
+from spliceflow.llm import conversation_trie, decontaminate, embedding_dedup, licenses, mixing, packing, sharding, simhash_dedup, substring_dedup, token_counts, toxicity, url_filter, whitening
 from spliceflow.llm.common import read
 
 
@@ -50,6 +50,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(read(spark, sf_dir, "conversations"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(read(spark, sf_dir, "documents"))
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,6 +79,9 @@ QUERIES = {
     "op8_simhash_dedup": op8,
     "op9_substring_dedup": op9,
     "op10_sharding": op10,
+    "op11_conversation_trie": op11,
+    "op12_source_mixing": op12,
+    "op13_whitening": op13,
     "pipeline": pipeline,
 }
 
@@ -122,4 +137,28 @@ SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(m, v.vec_id
 FROM v LEFT JOIN (SELECT a, count(*) AS n FROM p GROUP BY a) d ON d.a = v.vec_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = v.vec_id
 """
 
-SQL = {"op6_embedding_dedup": OP6_SQL, "op3_decontamination": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_license_scan": OP5_SQL}
+# The crc32 of a text, bit by bit; 3988292384 is its polynomial.
+_CRC_SQL = "xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split({}, ''), lambda ch: ascii(ch)::UBIGINT)), lambda a, b: list_reduce(list_concat([xor(a, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: xor(c >> 1, 3988292384::UBIGINT * (c & 1)))))"
+OP11_SQL = rf"""
+WITH t AS (SELECT conv_id, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(coalesce(role, ''), chr(10), coalesce(text, '')))) AS k FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(v ORDER BY k) AS vs, CAST({_CRC_SQL.format("CAST(conv_id AS VARCHAR)")} % 4 AS BIGINT) AS h FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, list_concat(coalesce(b.vs[1:c.h], []), c.vs[c.h + 1:]) AS vs FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+m AS (SELECT conv_id, d AS depth, vs[1:d] AS path, len(vs) AS n FROM (SELECT *, unnest(range(0, len(vs) + 1)) AS d FROM r)),
+g AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '') AS ends, CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * len(regexp_extract_all(path[depth].x, '[^\x20\x09-\x0D]+')) END AS saved FROM m GROUP BY path, depth),
+p AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n FROM g WHERE depth > 0 GROUP BY 1, 2),
+s AS (SELECT a.path, a.depth, sum(CASE WHEN p.n IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum(b.saved) AS saved FROM g a JOIN g b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path LEFT JOIN p ON p.path = b.path AND p.depth = b.depth GROUP BY 1, 2)
+SELECT g.conv_id, g.depth, up.conv_id AS parent_conv_id, g.n_convs, CAST(coalesce(p.n, 0) AS BIGINT) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(g.ends) AS ends_sha256
+FROM g JOIN s ON s.path = g.path AND s.depth = g.depth LEFT JOIN p ON p.path = g.path AND p.depth = g.depth LEFT JOIN g up ON up.depth = g.depth - 1 AND up.path = g.path[1:g.depth - 1]
+"""
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS source, source IS NULL AS no_source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT no_source, source, CAST(sum(size) AS BIGINT) AS source_size, CAST([1, 2, 3][(row_number() OVER (ORDER BY no_source, source) - 1) % 3 + 1] AS BIGINT) AS w FROM d GROUP BY 1, 2),
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM s WINDOW o AS (ORDER BY 3 * source_size / w, no_source, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, 3 * source_size / w < level AS stops FROM l),
+t AS (SELECT no_source, source, source_size, CAST(CASE WHEN stops THEN 3 * source_size ELSE (sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (WHERE stops) OVER (), 0)) / (sum(w) FILTER (WHERE NOT stops) OVER ()) * w END AS DOUBLE) AS target FROM f),
+q AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY no_source, source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d)
+SELECT doc_id, size, source_size, target, CAST(list_sum([greatest(0, least(size, floor(target) - ahead - e * source_size)) FOR e IN [0, 1, 2]]) AS BIGINT) AS taken FROM q JOIN t USING (no_source, source)
+"""
+
+SQL = {"op6_embedding_dedup": OP6_SQL, "op3_decontamination": OP3_SQL, "op4_url_filter": OP4_SQL, "op5_license_scan": OP5_SQL, "op11_conversation_trie": OP11_SQL, "op12_source_mixing": OP12_SQL}
