@@ -77,7 +77,7 @@ def test_trie_of_odd_rows_equals_listing(spark):
 
 
 def test_trie_with_a_conversation_in_several_parts(spark, many_parts):
-    rows = [(20, k // 3, "user", f"turn {k % 50} " * (k % 4)) for k in range(3000)] + [(c, k, "user", f"own {k} " * 2) for c in range(21, 31) for k in range(5)]
+    rows = [(20, k // 3, "user", f"turn {k % 50} " * (k % 4)) for k in range(3000)] + [(c, k, "user", f"own {c} {k}") for c in range(21, 31) for k in range(5)]
     df = spark.createDataFrame(rows, CONV).repartition(5)
     lanes = [conversation_trie._Lane(0, k, conversation_trie.P) for k in range(4)]
     assert conversation_trie._products(conversation_trie.stored_turns(df), lanes)[1].where("conv_id = 20").count() > 1
