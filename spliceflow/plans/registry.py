@@ -27,4 +27,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The modules add their queries as they are imported.
-from spliceflow.plans import calibration, commands, conformal, events, evaluation, evidence, extras, gating, graphs, intervals, parsing, reads, scores, sequences, stochastic, transcripts  # noqa: E402, F401
+from spliceflow.plans import calibration, commands, conformal, events, evaluation, evidence, extras, gating, graphs, intervals, parsing, reads, scores, sequences, stochastic, structures, transcripts  # noqa: E402, F401

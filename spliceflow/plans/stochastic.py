@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from spliceflow.functions import calibration as C
 from spliceflow.functions import special
-from spliceflow.operators import events, graph, posterior
+from spliceflow.operators import events, flows, graph, posterior
 from spliceflow.plans.domain import sql, view
 from spliceflow.plans.registry import query
 
@@ -112,6 +112,41 @@ def locus_flow(spark, sf_dir):
     return graph.locus_flow(_edges(spark, sf_dir))
 
 
-@query("graph_psi")
+def _supported(spark, sf_dir):
+    """The edges with the number of exons across each continuation as its weight."""
+    loci, js = _graph(spark, sf_dir)
+    parts = graph.segments(loci, js)
+    exons = view(spark, sf_dir, "exons").groupBy(F.col("gene").alias("locus"), "s", "e").agg(F.count(F.lit(1)).alias("count"))
+    return graph.supported(graph.graph(parts, js)[1], parts, exons)
+
+
+# Edges with their support; then every walk from a start with its probability.
+_SUPPORTED = _SEG.replace("SELECT locus, s, e FROM g WHERE", ", sg AS (SELECT locus, s, e, row_number() OVER (PARTITION BY locus ORDER BY s) AS node FROM g WHERE") + """),
+jc AS (SELECT locus, e AS js, ds AS je, CAST(count(*) AS DOUBLE) AS w FROM x WHERE ds IS NOT NULL GROUP BY 1, 2, 3),
+ed AS (SELECT l.locus, CAST(l.node AS INT) AS a, CAST(r.node AS INT) AS b, jc.w FROM jc JOIN sg l ON l.locus = jc.locus AND l.e = js JOIN sg r ON r.locus = jc.locus AND r.s = je
+ UNION ALL SELECT l.locus, CAST(l.node AS INT), CAST(r.node AS INT), CAST((SELECT count(*) FROM x WHERE x.locus = l.locus AND x.s < l.e AND x.e > l.e) AS DOUBLE) FROM sg l JOIN sg r ON r.locus = l.locus AND r.s = l.e),
+oe AS (SELECT * FROM ed WHERE w > 0), st AS (SELECT DISTINCT locus, a AS node FROM oe WHERE NOT EXISTS (SELECT 1 FROM oe o WHERE o.locus = oe.locus AND o.b = oe.a)), en AS (SELECT DISTINCT locus, b AS node FROM oe WHERE NOT EXISTS (SELECT 1 FROM oe o WHERE o.locus = oe.locus AND o.a = oe.b))"""
+
+
+@query("graph_psi", _SUPPORTED.replace("WITH ", "WITH RECURSIVE ", 1) + """, ou AS (SELECT locus, a, sum(w) AS w FROM oe GROUP BY 1, 2),
+walk AS (SELECT st.locus, node, ou.w / sum(ou.w) OVER (PARTITION BY st.locus) AS p FROM st JOIN ou ON ou.locus = st.locus AND ou.a = node UNION ALL SELECT oe.locus, oe.b, p * oe.w / ou.w FROM walk JOIN oe ON oe.locus = walk.locus AND oe.a = node JOIN ou ON ou.locus = oe.locus AND ou.a = oe.a)
+SELECT locus, node, round(sum(p), 8) AS psi FROM walk GROUP BY 1, 2""")
 def graph_psi(spark, sf_dir):
-    return graph.exon_inclusion(graph.decompose(_edges(spark, sf_dir)))
+    return flows.node_shares(_supported(spark, sf_dir)).withColumn("psi", F.round("psi", 8))
+
+
+@query("widest_paths", _SUPPORTED.replace("WITH ", "WITH RECURSIVE ", 1) + """, lo AS (SELECT locus, a, b, w, false AS stays FROM oe UNION ALL SELECT locus, node, node, NULL, true FROM st),
+way AS (SELECT 0 AS r, locus, node, CAST('inf' AS DOUBLE) AS k, 0e0 AS score, [node] AS path FROM st
+ UNION ALL SELECT r, locus, node, best.k, best.score, best.path FROM (SELECT way.r + 1 AS r, lo.locus, lo.b AS node, max(CASE WHEN stays THEN {'k': k, 'score': score, 'last': 0, 'path': path} ELSE {'k': least(k, w), 'score': score + w, 'last': -lo.a, 'path': list_append(path, lo.b)} END) AS best
+ FROM way JOIN lo ON lo.locus = way.locus AND lo.a = way.node WHERE way.r < 60 GROUP BY 1, 2, 3)),
+fin AS (SELECT way.locus, max({'k': k, 'score': score, 'last': -way.node, 'path': path}) AS best FROM way JOIN en ON en.locus = way.locus AND en.node = way.node WHERE r = 60 GROUP BY 1)
+SELECT locus, array_to_string(best.path, '-') AS path, best.k AS bottleneck, best.score AS score FROM fin""")
+def widest_paths(spark, sf_dir):
+    out = flows.widest_paths(_supported(spark, sf_dir))
+    return out.select("locus", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "bottleneck", "score")
+
+
+@query("residual_paths")
+def residual_paths(spark, sf_dir):
+    out = graph.peeled(_supported(spark, sf_dir))
+    return out.select("locus", F.array_join(F.col("path").cast("array<string>"), "-").alias("path"), "weight", "nth")
