@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from spliceflow.functions import calibration as C
 from spliceflow.functions import special
 from spliceflow.operators import events, flows, graph, posterior
+from spliceflow.operators.tables import written
 from spliceflow.plans.domain import sql, view
 from spliceflow.plans.registry import query
 
@@ -80,6 +81,13 @@ def _graph(spark, sf_dir):
     return loci, js
 
 
+def _parts(spark, sf_dir):
+    """Segments and junctions, each written once: nodes, edges and supports all read them."""
+    loci, js = _graph(spark, sf_dir)
+    js = written(js)
+    return written(graph.segments(loci, js)), js
+
+
 _SEG = sql("exons") + """, x AS (SELECT *, gene AS locus, lead(s) OVER (PARTITION BY tx ORDER BY s) AS ds FROM exons), j AS (SELECT DISTINCT locus, e AS js, ds AS je FROM x WHERE ds IS NOT NULL), l AS (SELECT locus, min(s) AS s, max(e) AS e FROM x GROUP BY locus),
 p AS (SELECT locus, s AS p FROM l UNION SELECT locus, e FROM l UNION SELECT locus, js FROM j UNION SELECT locus, je FROM j), g AS (SELECT locus, p AS s, lead(p) OVER (PARTITION BY locus ORDER BY p) AS e FROM p)
 SELECT locus, s, e FROM g WHERE e IS NOT NULL AND (EXISTS (SELECT 1 FROM j WHERE j.locus = g.locus AND je = s) OR EXISTS (SELECT 1 FROM j WHERE j.locus = g.locus AND js = e) OR (e - s >= 20 AND NOT EXISTS (SELECT 1 FROM j WHERE j.locus = g.locus AND js <= s AND je >= e)))"""
@@ -91,8 +99,7 @@ def exon_segments(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    loci, js = _graph(spark, sf_dir)
-    return graph.graph(graph.segments(loci, js), js)[1]
+    return graph.graph(*_parts(spark, sf_dir))[1]
 
 
 @query("graph_paths")
@@ -114,8 +121,7 @@ def locus_flow(spark, sf_dir):
 
 def _supported(spark, sf_dir):
     """The edges with the number of exons across each continuation as its weight."""
-    loci, js = _graph(spark, sf_dir)
-    parts = graph.segments(loci, js)
+    parts, js = _parts(spark, sf_dir)
     exons = view(spark, sf_dir, "exons").groupBy(F.col("gene").alias("locus"), "s", "e").agg(F.count(F.lit(1)).alias("count"))
     return graph.supported(graph.graph(parts, js)[1], parts, exons)
 

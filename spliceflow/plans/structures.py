@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from spliceflow.functions import reads as R
 from spliceflow.operators import anchors, boundaries, curves, graph, longreads
 from spliceflow.operators import transcripts as T
+from spliceflow.operators.tables import written
 from spliceflow.plans.domain import sql, view
 from spliceflow.plans.reads import _reads
 from spliceflow.plans.registry import query
-from spliceflow.plans.stochastic import _SUPPORTED, _graph, _supported
+from spliceflow.plans.stochastic import _SUPPORTED, _parts, _supported
 
 _TERMINAL = sql("reads", "iv") + """, bl AS (SELECT chrom, s, s + m1 AS e FROM reads UNION ALL SELECT chrom, s + m1 + n1, s + m1 + n1 + m2 + CASE WHEN n2 = 0 THEN m3 ELSE 0 END FROM reads UNION ALL SELECT chrom, s + m1 + n1 + m2 + n2, s + m1 + n1 + m2 + n2 + m3 FROM reads WHERE n2 > 0),
 x AS (SELECT chrom, min(s) AS first, max(e) AS last FROM bl GROUP BY 1), an AS (SELECT id AS anchor, chrom, s AS pos, 'left' AS side FROM iv UNION ALL SELECT id, chrom, e, 'right' FROM iv),
@@ -66,9 +67,8 @@ lp AS (SELECT be.*, EXISTS (SELECT 1 FROM st WHERE st.locus = be.locus AND st.no
 
 
 def _longreads(spark, sf_dir):
-    loci, js = _graph(spark, sf_dir)
-    nodes = graph.graph(graph.segments(loci, js), js)[0]
-    edges = _supported(spark, sf_dir).where("weight > 0")
+    nodes = graph.graph(*_parts(spark, sf_dir))[0]
+    edges = written(_supported(spark, sf_dir).where("weight > 0"))
     nth = F.row_number().over(Window.partitionBy("tx").orderBy("s"))
     exons = view(spark, sf_dir, "exons").select(F.col("gene").alias("locus"), F.col("tx").alias("read"), nth.alias("exon"), (F.col("s") + F.col("tx") % 7 - 3).alias("s"), (F.col("e") + F.col("tx") % 5 - 2).alias("e"))
     return longreads.longread_paths(exons, nodes, edges)
