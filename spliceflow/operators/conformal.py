@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceflow.functions.calibration import Calibrator, finite, support_bin
-from spliceflow.operators.ranks import running
+from spliceflow.operators.ranks import bucket
 
 MIN_GROUP = 20
 
@@ -22,15 +24,23 @@ def rank_of(n: Column, alpha: float) -> Column:
 
 
 def quantiles(scores: DataFrame, keys: list[str], alpha: float = 0.05, score_col: str = "score") -> DataFrame:
-    """keys, n, q: the rank-th smallest score of each group; q is null (unbounded) if the rank is beyond n.
+    """keys, n, q: the rank-th smallest score of each group; q is null (unbounded) if the rank is beyond n. Null keys are a group.
 
-    A score's rank is found without gathering its group: equal scores are counted first, and what lies below a score is a running
-    sum over buckets of the distinct ones.
+    Scores are counted by bucket in a first pass, which tells each group's bucket of that rank; only the scores in these few buckets are then
+    compared with each other. No group is gathered, and nothing but bucket counts is exchanged of the others.
     """
-    counts = scores.where(F.col(score_col).isNotNull()).groupBy(*keys, score_col).agg(F.count(F.lit(1)).alias("here"))
-    ranked = running(counts, keys, score_col, "here").withColumn("n", F.col("total_here"))
-    hit = F.min(F.when(F.col("before_here") + F.col("here") >= rank_of(F.col("n"), alpha), F.col(score_col)))
-    return ranked.groupBy(*keys).agg(F.max("n").alias("n"), hit.alias("q"))
+    dealt = scores.where(F.col(score_col).isNotNull()).select(*keys, F.col(score_col).alias("__score"), bucket(F.col(score_col)).alias("__bucket"))
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    per = dealt.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("here"))
+    per = per.withColumns({"n": F.sum("here").over(whole), "upto": F.sum("here").over(whole.orderBy("__bucket"))}).withColumn("rank", rank_of(F.col("n"), alpha))
+    groups = per.groupBy(*keys).agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") >= F.col("rank"), F.struct("__bucket", (F.col("rank") - F.col("upto") + F.col("here")).alias("left")))).alias("in"))
+    groups = groups.select(*(F.col(k).alias(f"__{k}") for k in keys), "n", F.col("in.__bucket").alias("__at"), "in.left")
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col("__bucket") == F.col("__at"))
+    near = dealt.join(groups, same).groupBy(*keys, "left", "__score").agg(F.count(F.lit(1)).alias("here"))
+    upto = F.sum("here").over(whole.orderBy("__score"))
+    found = near.withColumn("upto", upto).where("upto >= left").groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("__score").alias("q"))
+    again = reduce(Column.__and__, (F.col(f"__{k}").eqNullSafe(F.col(f"_{k}")) for k in keys), F.lit(True))
+    return groups.join(found, again, "left").select(*(F.col(f"__{k}").alias(k) for k in keys), "n", "q")
 
 
 def levels(rows: DataFrame, alpha: float = 0.05, min_group: int = MIN_GROUP) -> DataFrame:
@@ -59,7 +69,9 @@ def crossfit(rows: DataFrame, alpha: float = 0.05, min_bin: int = 1, folds: int
     Each score goes to the folds that it isn't in (folds - 1 copies); the quantile table is tiny and joined back.
     """
     base = rows.withColumns({"score": score(F.col("estimate"), F.col("truth"), F.col("scale")), "bin": support_bin(F.col("support"))})
-    copies = base.select("score", "bin", "fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")).where("fold <> held")
-    by_bin = quantiles(copies, ["held", "bin"], alpha).where(F.col("n") >= min_bin).select("held", "bin", F.col("q").alias("q_bin"))
-    overall = quantiles(copies, ["held"], alpha).select("held", F.col("q").alias("q_all"))
+    each = F.explode(F.array(F.struct(F.lit(True).alias("all"), F.lit("").alias("of")), F.struct(F.lit(False).alias("all"), F.col("bin").alias("of"))))
+    copies = base.select("score", "bin", "fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")).where("fold <> held").select("score", "held", each.alias("x")).select("score", "held", "x.all", "x.of")
+    found = quantiles(copies, ["held", "all", "of"], alpha)
+    by_bin = found.where(~F.col("all") & (F.col("n") >= min_bin)).select("held", F.col("of").alias("bin"), F.col("q").alias("q_bin"))
+    overall = found.where("all").select("held", F.col("q").alias("q_all"))
     return base.withColumn("held", F.col("fold")).join(by_bin, ["held", "bin"], "left").join(overall, "held", "left").withColumn("q", F.coalesce("q_bin", "q_all")).drop("held", "q_bin", "q_all")

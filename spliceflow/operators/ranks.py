@@ -12,7 +12,7 @@ STEPS = 256
 _ZERO = 300_000  # above the bucket number of the least positive double
 
 
-def _bucket(value: Column) -> Column:
+def bucket(value: Column) -> Column:
     """Grows with the value and depends on nothing else; NaN comes last."""
     v = value.cast("double")
     size = F.when(F.abs(v) == float("inf"), F.lit(1 << 40)).otherwise(F.floor(F.log2(F.abs(v)) * STEPS) + _ZERO)
@@ -22,7 +22,7 @@ def _bucket(value: Column) -> Column:
 def running(counts: DataFrame, keys: list[str], value: str, *columns: str) -> DataFrame:
     """counts (a row for each value of a group, values not null) with before_c and total_c for each of columns: the sums of c over the
     group's smaller values and over all of them. Null keys are a group."""
-    dealt = counts.withColumn("__bucket", _bucket(F.col(value)))
+    dealt = counts.withColumn("__bucket", bucket(F.col(value)))
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     below = whole.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = dealt.groupBy(*keys, "__bucket").agg(*(F.sum(c).alias(c) for c in columns))

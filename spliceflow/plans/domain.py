@@ -34,9 +34,12 @@ VIEWS: dict[str, str] = {
                cast(o_custkey % 400 as double) AS support,
                CASE o_orderkey % 5 WHEN 0 THEN 'SE' WHEN 1 THEN 'A3SS' WHEN 2 THEN 'A5SS' WHEN 3 THEN 'MXE' ELSE 'RI' END AS event_type
         FROM {orders}""",
-    # Genomic intervals, half open: clusters on five chromosomes, as dense whatever the number of orders.
+    # Genomic intervals, half open: clusters on five chromosomes, as dense whatever the number of orders, and a sixth of all rows piled up on
+    # 100,000 bases of a sixth chromosome, where some are a megabase long.
     "iv": """
-        SELECT o_orderkey AS id, cast(o_custkey % 5 as int) AS chrom, o_orderkey * 7 + (o_orderkey div 64) * 4000 AS s, o_orderkey * 7 + (o_orderkey div 64) * 4000 + 1 + o_custkey % 200 AS e FROM {orders}""",
+        SELECT id, chrom, s, s + CASE WHEN id % 6000 = 5 THEN 1000000 ELSE 1 + c % 200 END AS e FROM
+          (SELECT o_orderkey AS id, o_custkey AS c, cast(CASE WHEN o_orderkey % 6 = 5 THEN 5 ELSE o_custkey % 5 END as int) AS chrom,
+                  CASE WHEN o_orderkey % 6 = 5 THEN o_orderkey * 7 % 100000 ELSE o_orderkey * 7 + (o_orderkey div 64) * 4000 END AS s FROM {orders}) o""",
     # Exons of transcripts, at most one row for each order and line number.
     "exons": """
         SELECT concat('T', cast(o as string)) AS transcript_id, concat('G', cast(o div 32 as string)) AS gene_id, 'chr1' AS chrom,
@@ -46,9 +49,9 @@ VIEWS: dict[str, str] = {
                (SELECT l_orderkey AS o, cast(l_linenumber as bigint) AS ln, l_partkey AS p, l_suppkey AS su,
                        row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS r FROM {lineitem}) a WHERE r = 1) b
         WHERE p % 5 <> 0 AND NOT coalesce(before % 7 = 0 AND ln_before = ln - 1, false)""",
-    # Aligned reads as alternating match and skip lengths.
+    # Aligned reads as alternating match and skip lengths, piled up on the sixth chromosome too.
     "reads": """
-        SELECT event_id AS id, cast(user_id % 5 as int) AS chrom, event_id * 7 + (event_id div 64) * 4000 AS s, cast(event_id % 60 as int) AS mapq, cast((user_id % 3) * 16 + (event_id % 2) * 256 as int) AS flag,
+        SELECT event_id AS id, cast(CASE WHEN event_id % 6 = 5 THEN 5 ELSE user_id % 5 END as int) AS chrom, CASE WHEN event_id % 6 = 5 THEN event_id * 7 % 50000 ELSE event_id * 7 + (event_id div 64) * 4000 END AS s, cast(event_id % 60 as int) AS mapq, cast((user_id % 3) * 16 + (event_id % 2) * 256 as int) AS flag,
                20 + event_id % 30 AS m1, 60 + user_id % 90 AS n1, 5 + event_id % 41 AS m2, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 80 + user_id % 50 END AS n2, 10 + user_id % 25 AS m3
         FROM {events}""",
     # Nucleotide sequences from the whole texts of the documents.
@@ -60,6 +63,13 @@ VIEWS: dict[str, str] = {
         FROM {labels} l JOIN {documents} d ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL""",
 }
 
+# All aligned blocks of the reads; without a second skip the last two are one.
+_R = f"({VIEWS['reads']}) r"
+VIEWS["blocks"] = f"""
+        SELECT id * 4 AS id, chrom, s, s + m1 AS e FROM {_R} UNION ALL
+        SELECT id * 4 + 1, chrom, s + m1 + n1, s + m1 + n1 + m2 + CASE WHEN n2 = 0 THEN m3 ELSE 0 END FROM {_R} UNION ALL
+        SELECT id * 4 + 2, chrom, s + m1 + n1 + m2 + n2, s + m1 + n1 + m2 + n2 + m3 FROM {_R} WHERE n2 > 0"""
+
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = VIEWS[name]

@@ -86,12 +86,12 @@ def best_locus(spark, sf_dir):
     return V.best_locus(spans, loci, ["chrom"], "transcript_id").select("transcript_id", "locus", "shared")
 
 
-_TWO = sql("iv", "reads") + ", a AS (SELECT *, 'G' || (id % 7) AS gene FROM iv), b AS (SELECT chrom, id, s, s + m1 AS e, 'g' || (id % 5) AS gene, id % 9 AS support FROM reads)"
+_TWO = sql("iv", "blocks") + ", a AS (SELECT *, 'G' || (id % 7) AS gene FROM iv), b AS (SELECT chrom, id, s, e, 'g' || (id % 5) AS gene, id % 9 AS support FROM blocks)"
 
 
 def _two(spark, sf_dir):
     targets = view(spark, sf_dir, "iv").selectExpr("*", "concat('G', id % 7) AS gene")
-    return targets, view(spark, sf_dir, "reads").selectExpr("chrom", "id AS rid", "s AS rs", "s + m1 AS re", "concat('g', id % 5) AS rgene", "id % 9 AS support")
+    return targets, view(spark, sf_dir, "blocks").selectExpr("chrom", "id AS rid", "s AS rs", "e AS re", "concat('g', id % 5) AS rgene", "id % 9 AS support")
 
 
 _BEST = "SELECT id, rid FROM (SELECT a.id, b.id AS rid, row_number() OVER (PARTITION BY a.id ORDER BY abs(a.s - b.s) + abs(a.e - b.e), lower(a.gene) <> lower(b.gene), b.support DESC, b.id) AS r FROM a JOIN b ON a.chrom = b.chrom AND {0}) WHERE r = 1"

@@ -32,12 +32,12 @@ def boundary_contrast(spark, sf_dir):
     return intervals.boundary_contrast(bins, ["chrom"], "p", "n").select("chrom", "p", F.round("contrast", 8).alias("contrast"))
 
 
-@query("loss_accounting", sql("iv", "reads") + """, l AS (SELECT chrom, s AS rs, s + m1 AS re FROM reads)
+@query("loss_accounting", sql("iv", "blocks") + """, l AS (SELECT chrom, s AS rs, e AS re FROM blocks)
 SELECT id, CASE WHEN EXISTS (SELECT 1 FROM l WHERE l.chrom = t.chrom AND s < re AND rs < e AND least(e, re) - greatest(s, rs) >= 0.5 * (e - s)) THEN 'found' WHEN EXISTS (SELECT 1 FROM l WHERE l.chrom = t.chrom AND s < re AND rs < e) THEN 'no_match' ELSE 'no_locus' END AS stage FROM iv t""")
 def loss_accounting(spark, sf_dir):
     """All intervals are the truth, the reads' first blocks the loci; what one of them covers by half is found."""
     truth = view(spark, sf_dir, "iv")
-    loci = view(spark, sf_dir, "reads").selectExpr("chrom", "s AS rs", "s + m1 AS re")
+    loci = view(spark, sf_dir, "blocks").selectExpr("chrom", "s AS rs", "e AS re")
     found = intervals.overlap_join(truth, loci, ["chrom"]).where("least(e, re) - greatest(s, rs) >= 0.5 * (e - s)").select("id").distinct()
     return regions.lost_at(truth, loci, found, ["chrom"], "id").select("id", "stage")
 
