@@ -128,14 +128,14 @@ def _differ(nodes: DataFrame, stored: DataFrame, lanes: list[_Lane]) -> bool:
     """Whether a group of nodes holds different prefixes: other fingerprints before, other hashes of the last turn, or other last turns."""
     if nodes.where("low_pa != high_pa or low_pb != high_pb or low_va != high_va or low_vb != high_vb").limit(1).count():
         return True
-    told = nodes.where("low_at != high_at").select(F.col("low_va").alias("va"), F.col("low_vb").alias("vb")).distinct()
-    again = stored.select("role", "text", *_packed("v", [lane.hash() for lane in lanes])).join(told, ["va", "vb"], "left_semi")
+    told = nodes.where("low_at != high_at").groupBy(F.col("low_va").alias("va"), F.col("low_vb").alias("vb")).agg(F.sum("n_convs").alias("n_convs"))
+    again = _crowd_join(stored.select("role", "text", *_packed("v", [lane.hash() for lane in lanes])), told, ["va", "vb"], nodes.agg(F.coalesce(F.sum("n_convs"), F.lit(0))).first()[0])
     ends = again.groupBy("va", "vb").agg(F.min("role").alias("role"), F.max("role").alias("last_role"), F.min("text").alias("text"), F.max("text").alias("last_text"))
     return ends.where("role != last_role or text != last_text").limit(1).count() > 0
 
 
 def _crowd_join(rows: DataFrame, nodes: DataFrame, keys: list[str], members: int) -> DataFrame:
-    """rows with their node's columns; nodes with so many members that they would weigh on one task are broadcast (at most CROWDED)."""
+    """rows that have a partner among nodes, with its columns; partners with so many members that they would weigh on one task are broadcast (at most CROWDED)."""
     crowded = F.col("n_convs") > F.lit(max(CROWDED, members // CROWDED))
     few = F.broadcast(nodes.where(crowded))
     return rows.join(few, keys).unionByName(rows.join(few, keys, "left_anti").join(nodes.where(~crowded), keys))

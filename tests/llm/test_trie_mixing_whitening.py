@@ -107,7 +107,7 @@ def test_trie_draws_again_when_fingerprints_collide(spark, monkeypatch):
         lane.base, lane.inverse = lanes[0].base, lanes[0].inverse
     turns, parts = conversation_trie._products(stored, lanes)
     ends = [f(c).alias(f"{how}_{c}") for c in ("pa", "pb", "va", "vb", "at") for how, f in (("low", conversation_trie.F.min), ("high", conversation_trie.F.max))]
-    assert differ(conversation_trie._members(turns, parts, lanes).groupBy("depth", "fa", "fb").agg(*ends), stored, lanes)
+    assert differ(conversation_trie._members(turns, parts, lanes).groupBy("depth", "fa", "fb").agg(conversation_trie.F.count("at").alias("n_convs"), *ends), stored, lanes)
     # And after a refused draw the next one gives the trie.
     monkeypatch.setattr(conversation_trie, "_differ", lambda *how: draws.append(differ(*how)) or len(draws) < 2 or draws[-1])
     got = conversation_trie.trie(spark.createDataFrame(rows, CONV))
@@ -124,7 +124,7 @@ def test_trie_compares_texts_of_equal_hashes(spark):
     turns, parts = conversation_trie._products(stored, lanes)
     members = conversation_trie._members(turns, parts, lanes)
     ends = [f(c).alias(f"{how}_{c}") for c in ("pa", "pb", "va", "vb", "at") for how, f in (("low", conversation_trie.F.min), ("high", conversation_trie.F.max))]
-    nodes = members.groupBy("depth", "fa", "fb").agg(*ends)
+    nodes = members.groupBy("depth", "fa", "fb").agg(conversation_trie.F.count("at").alias("n_convs"), *ends)
     assert nodes.where("depth = 1").count() == 1
     assert conversation_trie._differ(nodes, stored, lanes)
 
