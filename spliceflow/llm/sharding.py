@@ -51,13 +51,12 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(rows: DataFrame, shards: list[str] | tuple[str, ...] = SHARDS, key_col: str = "doc_id", slots: int = SLOTS, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
-    """rows with slot_col and shard_col added; no row moves, all columns of rows stay.
+    """rows with slot_col and shard_col added as the last two columns; no row moves, all columns of rows stay.
 
-    Rows that repeat a key are placed together, null keys like the empty text; an empty table gives an empty one. A column of rows that
-    has one of the two names is an error: give other names. The broadcast table has `slots` rows whatever the input.
+    Rows that repeat a key are placed together, null keys like the empty text; an empty table gives an empty one. Where a column of rows
+    has one of the two names already, the new one gets underscores in front. The broadcast table has `slots` rows whatever the input.
     """
-    if taken := {slot_col.lower(), shard_col.lower()} & {c.lower() for c in rows.columns}:
-        raise ValueError(f"rows has columns {sorted(taken)} already: name slot_col and shard_col")
+    slot_col, shard_col = unused(rows, slot_col, shard_col)
     spark: SparkSession = rows.sparkSession
     names = sorted(set(shards))
     at, name = unused(rows, "at", "name")
@@ -69,4 +68,5 @@ def place(rows: DataFrame, shards: list[str] | tuple[str, ...] = SHARDS, key_col
 def write_shards(rows: DataFrame, path: str, shards: list[str] | tuple[str, ...] = SHARDS, key_col: str = "doc_id", files_each: int = 4) -> None:
     """Writes rows to a folder for each shard; a shard's rows are dealt to files_each files, so that no task has a whole shard."""
     placed = place(rows, shards, key_col)
-    placed.repartition(len(set(shards)) * files_each, "shard", F.pmod(F.xxhash64(key_col), F.lit(files_each))).write.partitionBy("shard").parquet(path)
+    shard = placed.columns[-1]
+    placed.repartition(len(set(shards)) * files_each, shard, F.pmod(F.xxhash64(key_col), F.lit(files_each))).write.partitionBy(shard).parquet(path)
