@@ -24,6 +24,8 @@ CAPACITY = 2048
 SMALL_SHARES = (1 / 3, 1 / 2)
 #: Groups of large lengths. More groups waste less by rounding and make the program larger.
 GROUPS = 120
+#: Ranks of equal rows that one task deals out.
+RANKS = 10_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -212,12 +214,17 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> Da
     counts = parts.groupBy("length").count().collect()  # at most `capacity` rows
     n = sum(r["count"] for r in counts)
     table = spark.sparkContext.broadcast(plan({r["length"]: r["count"] for r in counts}, capacity, groups))
-    # Ranks within a length: rows are dealt to buckets by a hash, so that a length that very many pieces have is nobody's burden.
+    # Ranks within a length: rows are dealt to buckets by a hash, so that a length that very many pieces have is nobody's burden. Equal rows
+    # are counted first and take a run of ranks, which is dealt out again in chunks.
     buckets = max(256, n // 100_000)
-    dealt = parts.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    before = dealt.groupBy("length", "bucket").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "bucket", F.coalesce("before", F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1
-    ranked = dealt.withColumn("nth", nth).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("nth"))
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    each = parts.groupBy(*columns).agg(F.count(F.lit(1)).alias("copies")).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    ahead = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = each.groupBy("length", "bucket").agg(F.sum("copies").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(ahead), F.lit(0))).drop("held")
+    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    first = each.withColumn("nth", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(before, ["length", "bucket"]).withColumn("first", F.col("before") + F.col("nth"))
+    chunks = first.select(*columns, "first", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(RANKS).cast("long"))).alias("chunk")).repartition("doc_id", "piece", "chunk")
+    ranked = chunks.select(*columns, F.explode(F.sequence(F.col("first") + F.col("chunk"), F.col("first") + F.least(F.col("chunk") + RANKS, F.col("copies")) - 1)).alias("rank"))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = table.value

@@ -148,3 +148,21 @@ def test_token_counts_of_given_sections(spark):
     assert got[2, -1] == len(tokenizer().encode(text).ids)
     with pytest.raises(ValueError):
         token_counts.token_counts(docs, rule="none")
+
+
+def test_equal_rows_take_ranks_in_chunks(spark, monkeypatch):
+    """Equal rows, without an id or with one, are counted and dealt out again in runs."""
+    monkeypatch.setattr(packing, "RANKS", 7)
+    rows = [(None, "")] * 60 + [(5, "a b c")] * 33 + [(k, "word " * (k % 40)) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    packed = packing.pack_documents(docs, capacity=16).collect()
+    assert sum(r.length for r in packed if r.doc_id is None) == 60 and sum(r.doc_id == 5 and r.length == 4 for r in packed) >= 33
+    filled = {}
+    for r in packed:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for slots in filled.values():
+        at = 0
+        for offset, length in sorted(slots):
+            assert offset == at
+            at += length
+        assert at <= 16
