@@ -33,7 +33,7 @@ _CELLS = 200
 
 def _axes(vectors: DataFrame) -> np.ndarray | None:
     """Principal axes of the vectors of the commonest length in the sample, as columns by falling spread."""
-    rows = vectors.select("v").orderBy(F.xxhash64("rep"), "rep").limit(AXES_ROWS).collect()
+    rows = vectors.select("v").orderBy("key", "other").limit(AXES_ROWS).collect()
     if not rows:
         return None
     lengths = [len(r["v"]) for r in rows]
@@ -144,15 +144,15 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     finite = F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("v", lambda x: x != 0), F.lit(False))
-    # Equal vectors of a label are one representative with its number of rows; its number is a digest of both, made smaller than 2**63.
+    # Equal vectors of a label are one representative with its number of rows, found by a digest of 128 bits of both.
     own = rows.select("vec_id", F.when(finite, F.struct("label", "v")).alias("own"))
     # A power of two to scale by, which changes no cosine: squares then neither overflow nor vanish.
     power = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.array_max(F.transform("own.v", lambda x: F.abs(x))))), F.lit(-1022)))
-    keyed = cut(own.select("vec_id", "own", F.when(F.col("own").isNotNull(), F.xxhash64("own.label", "own.v")).alias("key"), power.alias("power")))
-    reps = cut(keyed.where("own is not null").groupBy("key").agg(F.first("own").alias("own"), F.first("power").alias("power"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.min("own").alias("lo"), F.max("own").alias("hi")))
+    keyed = cut(own.select("vec_id", "own", F.when(F.col("own").isNotNull(), F.xxhash64("own.label", "own.v")).alias("key"), F.when(F.col("own").isNotNull(), F.xxhash64(F.lit(1), "own.v", "own.label")).alias("other"), power.alias("power")))
+    reps = cut(keyed.where("own is not null").groupBy("key", "other").agg(F.first("own").alias("own"), F.first("power").alias("power"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"), F.min("own").alias("lo"), F.max("own").alias("hi")))
     if reps.where("lo != hi").limit(1).count():
-        raise ValueError("two different vectors share a 64-bit hash")
-    reps = cut(reps.select(F.col("key").alias("rep"), F.col("own.label").alias("label"), F.transform("own.v", lambda x: x / F.col("power")).alias("v"), "copies", "least"))
+        raise ValueError("two different vectors share a digest of 128 bits")
+    reps = cut(reps.select(F.monotonically_increasing_id().alias("rep"), "key", "other", F.col("own.label").alias("label"), F.transform("own.v", lambda x: x / F.col("power")).alias("v"), "copies", "least"))
     axes = _axes(reps)
     if axes is None:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), (F.col("vec_id") == F.col("vec_id")).alias("kept"))
@@ -165,7 +165,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     cells = placed.groupBy("label", "width", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("label", "width").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     most = F.greatest(F.floor(F.lit(block_bytes) / (8 * F.col("width"))), F.lit(1))
     cells = cut(cells.select("label", "width", "cell", F.ceil(F.col("n") / most).alias("split"), F.floor((F.col("before") + F.col("n") / 2) / most).alias("part")))
-    dealt = placed.join(cells, ["label", "width", "cell"]).withColumn("block", F.xxhash64("label", "width", "part", F.when(F.col("split") > 1, F.struct("cell", F.pmod("rep", "split")))))
+    dealt = placed.join(cells, ["label", "width", "cell"]).withColumn("block", F.xxhash64("label", "width", "part", F.when(F.col("split") > 1, F.struct("cell", F.pmod("key", "split")))))
 
     schema = "block long, label string, width int, low double, high double, reps binary, copies binary, vectors binary"
 
@@ -197,9 +197,9 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     found = cut(sides.groupBy("ta", "tb").applyInPandas(compare, "rep long, n long, root long"))
     roots = cut(components(found.where("root is not null").select(F.col("rep").alias("u"), F.col("root").alias("v"))))
     direct = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    known = reps.select("rep", "copies", "least").join(direct, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("rep", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    known = reps.select("rep", "key", "other", "copies", "least").join(direct, "rep", "left").join(roots, F.col("rep") == F.col("node"), "left").select("key", "other", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
     known = cut(known)
     least = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    told = cut(known.join(least, "root").select("rep", "n_links", "component_id"))
-    out = keyed.select("vec_id", "key").join(told, F.col("key") == F.col("rep"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("rep").isNotNull(), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    told = cut(known.join(least, "root").select("key", "other", F.lit(True).alias("told"), "n_links", "component_id"))
+    out = keyed.select("vec_id", "key", "other").join(told, ["key", "other"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("told"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
