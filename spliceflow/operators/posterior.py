@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spliceflow.operators.tables import spread
+
 
 def _generator(seed: int) -> np.random.Generator:
     return np.random.default_rng(int(seed) % (1 << 63))
@@ -47,7 +49,7 @@ def psi_posterior(rows: DataFrame, draws: int = 500, level: float = 0.95, seed:
             yield pd.DataFrame(out, columns=["event_id", "psi", "sd", "cv", "ci_low", "ci_high"]).astype({"event_id": object, "cv": "float64"})
 
     columns = ["event_id", *(F.col(c).cast("double").alias(c) for c in ("inc", "exc", "ratio", "scale", "inflation"))]
-    return rows.select(*columns, seed_of(F.col("event_id"), seed).alias("seed")).mapInPandas(draw, "event_id string, psi double, sd double, cv double, ci_low double, ci_high double")
+    return spread(rows.select(*columns, seed_of(F.col("event_id"), seed).alias("seed")), "event_id").mapInPandas(draw, "event_id string, psi double, sd double, cv double, ci_low double, ci_high double")
 
 
 def dpsi_posterior(rows: DataFrame, draws: int = 2000, cutoff: float = 0.1, model: str = "auto", seed: int = 0) -> DataFrame:
@@ -83,7 +85,7 @@ def dpsi_posterior(rows: DataFrame, draws: int = 2000, cutoff: float = 0.1, mode
 
     total = lambda c: F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x)
     made = rows.select("event_id", F.col("ratio").cast("double").alias("ratio"), informative(F.col("inc1"), F.col("exc1")).alias("r1"), informative(F.col("inc2"), F.col("exc2")).alias("r2"), total("inc1").alias("i1"), total("exc1").alias("e1"), total("inc2").alias("i2"), total("exc2").alias("e2"), seed_of(F.col("event_id"), seed).alias("seed"))
-    return made.mapInPandas(draw, schema)
+    return spread(made, "event_id").mapInPandas(draw, schema)
 
 
 def combine_replicates(rows: DataFrame, z: float = 1.959963984540054) -> DataFrame:

@@ -42,3 +42,8 @@ def dropped(df: DataFrame) -> None:
 def mark(df: DataFrame, *columns: str) -> tuple:
     """Number and checksum of the rows; equal marks of two tables are equal rows, but for one chance in 2**64."""
     return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt by their keys over all shuffle partitions, however few bytes they are: for rows that cost far more time than their size says."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
