@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spliceflow.functions.calibration import Calibrator, finite, support_bin
 from spliceflow.operators.ranks import bucket
+from spliceflow.operators.tables import written
 
 MIN_GROUP = 20
 
@@ -34,7 +35,7 @@ def quantiles(scores: DataFrame, keys: list[str], alpha: float = 0.05, score_col
     per = dealt.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("here"))
     per = per.withColumns({"n": F.sum("here").over(whole), "upto": F.sum("here").over(whole.orderBy("__bucket"))}).withColumn("rank", rank_of(F.col("n"), alpha))
     groups = per.groupBy(*keys).agg(F.max("n").alias("n"), F.min(F.when(F.col("upto") >= F.col("rank"), F.struct("__bucket", (F.col("rank") - F.col("upto") + F.col("here")).alias("left")))).alias("in"))
-    groups = groups.select(*(F.col(k).alias(f"__{k}") for k in keys), "n", F.col("in.__bucket").alias("__at"), "in.left")
+    groups = written(groups.select(*(F.col(k).alias(f"__{k}") for k in keys), "n", F.col("in.__bucket").alias("__at"), "in.left"))
     same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys), F.col("__bucket") == F.col("__at"))
     near = dealt.join(groups, same).groupBy(*keys, "left", "__score").agg(F.count(F.lit(1)).alias("here"))
     upto = F.sum("here").over(whole.orderBy("__score"))

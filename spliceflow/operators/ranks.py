@@ -13,10 +13,11 @@ _ZERO = 300_000  # above the bucket number of the least positive double
 
 
 def bucket(value: Column) -> Column:
-    """Grows with the value and depends on nothing else; NaN comes last."""
-    v = value.cast("double")
-    size = F.when(F.abs(v) == float("inf"), F.lit(1 << 40)).otherwise(F.floor(F.log2(F.abs(v)) * STEPS) + _ZERO)
-    return F.when(F.isnan(v), F.lit(1 << 41)).when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0).cast("long"))
+    """Grows with the value and depends on nothing else; NaN is with the infinite ones, where it comes last. The value is named twice only:
+    an expression that is long itself would otherwise make code that is too long to be compiled."""
+    v = F.nanvl(value.cast("double"), F.lit(float("inf")))
+    size = F.floor(F.log2(F.greatest(F.least(F.abs(v), F.lit(1.7e308)), F.lit(5e-324))) * STEPS) + _ZERO
+    return (F.signum(v) * size).cast("long")
 
 
 def running(counts: DataFrame, keys: list[str], value: str, *columns: str) -> DataFrame:
