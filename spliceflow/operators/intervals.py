@@ -48,7 +48,7 @@ def gaps(merged: DataFrame, keys: list[str]) -> DataFrame:
     return merged.withColumn("__next", nxt).where("__next > e").select(*keys, F.col("e").alias("s"), F.col("__next").alias("e"))
 
 
-def _bins(rows: DataFrame, s: str, e: str, width: int, levels: Column) -> DataFrame:
+def bins(rows: DataFrame, s: str, e: str, width: int, levels: Column) -> DataFrame:
     """rows once for each bin they touch on each of levels, with __level and __bin; a bin of a level is CLASS times one of the level below."""
     spans = F.transform(levels, lambda k: F.struct(k.alias("level"), F.element_at(F.array(*(F.lit(width * CLASS**n) for n in range(LEVELS))), k + 1).alias("w")))
     last = F.greatest(F.col(e), F.col(s) + 1) - 1
@@ -56,7 +56,7 @@ def _bins(rows: DataFrame, s: str, e: str, width: int, levels: Column) -> DataFr
     return rows.withColumn("__at", F.explode(each)).withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin")}).drop("__at")
 
 
-def _level(s: str, e: str, width: int) -> Column:
+def level(s: str, e: str, width: int) -> Column:
     """The level whose bins an interval touches no more than about CLASS of."""
     length = F.col(e) - F.col(s)
     return sum(((length > width * CLASS**k).cast("int") for k in range(1, LEVELS)), F.lit(0))
@@ -68,15 +68,15 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int
     Intervals are dealt to bins by their length's class, so that a long one isn't copied to every short bin: short ones meet in bins of
     `width`; where one is long, both go to the bins of the longer one's class. A pair is kept only in the bin where the overlap begins.
     """
-    a, b = left.withColumn("__own", _level("s", "e", width)), right.withColumn("__rown", _level("rs", "re", width))
+    a, b = left.withColumn("__own", level("s", "e", width)), right.withColumn("__rown", level("rs", "re", width))
     overlaps = (F.col("s") < F.col("re")) & (F.col("rs") < F.col("e"))
     own = lambda c: F.array(F.col(c))
     upward = lambda c: F.sequence(F.col(c) + 1, F.lit(LEVELS - 1))
     on = [*keys, "__level", "__bin"]
     ends = {"left": ("s", "e", width), "right": ("rs", "re", width)}
-    same = _bins(a, *ends["left"], own("__own")).join(_bins(b, *ends["right"], own("__rown")), on)
-    longer_right = _bins(a.where(F.col("__own") < LEVELS - 1), *ends["left"], upward("__own")).join(_bins(b.where("__rown > 0"), *ends["right"], own("__rown")), on)
-    longer_left = _bins(a.where("__own > 0"), *ends["left"], own("__own")).join(_bins(b.where(F.col("__rown") < LEVELS - 1), *ends["right"], upward("__rown")), on)
+    same = bins(a, *ends["left"], own("__own")).join(bins(b, *ends["right"], own("__rown")), on)
+    longer_right = bins(a.where(F.col("__own") < LEVELS - 1), *ends["left"], upward("__own")).join(bins(b.where("__rown > 0"), *ends["right"], own("__rown")), on)
+    longer_left = bins(a.where("__own > 0"), *ends["left"], own("__own")).join(bins(b.where(F.col("__rown") < LEVELS - 1), *ends["right"], upward("__rown")), on)
     met = same.unionByName(longer_right).unionByName(longer_left).where(overlaps)
     first = F.greatest("s", "rs") / F.element_at(F.array(*(F.lit(width * CLASS**n) for n in range(LEVELS))), F.col("__level") + 1)
     return met.where(F.col("__bin") == F.floor(first)).drop("__level", "__bin", "__own", "__rown")
