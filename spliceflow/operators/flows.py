@@ -54,6 +54,22 @@ def settled(begin: DataFrame, edges: DataFrame, told: dict[str, Column], taken:
             return state
 
 
+def _ways(begin: DataFrame, edges: DataFrame) -> DataFrame:
+    """locus, node, way (bottleneck, score, last, path): for each node the widest way from one of begin(locus, node)."""
+    way = F.struct(F.lit(float("inf")).alias("bottleneck"), F.lit(0.0).alias("score"), F.lit(0).alias("last"), F.array("node").alias("path"))
+    weight = F.col("weight").cast("double")
+    told = F.struct(
+        F.least("way.bottleneck", F.coalesce(weight, F.lit(float("inf")))).alias("bottleneck"), (F.col("way.score") + F.coalesce(weight, F.lit(0.0))).alias("score"),
+        (-F.col("node")).alias("last"), F.concat("way.path", F.array("b")).alias("path"),
+    )
+    return settled(begin.withColumn("way", way), edges, {"way": told}, {"way": F.max("way")})
+
+
+def _last(*keys: str) -> list:
+    """The best of the ways to several nodes, by keys."""
+    return [*keys, F.struct("way.bottleneck", "way.score", (-F.col("node")).alias("last"), "way.path").alias("way")]
+
+
 def widest_paths(edges: DataFrame) -> DataFrame:
     """locus, path, bottleneck, score: of each locus's paths from a node without edges in to one without edges out the widest.
 
@@ -62,18 +78,39 @@ def widest_paths(edges: DataFrame) -> DataFrame:
     bottleneck is infinite. A locus without edges has no row.
     """
     edges = written(open_edges(edges))
-    way = F.struct(F.lit(float("inf")).alias("bottleneck"), F.lit(0.0).alias("score"), F.lit(0).alias("last"), F.array("node").alias("path"))
-    weight = F.col("weight").cast("double")
-    told = F.struct(
-        F.least("way.bottleneck", F.coalesce(weight, F.lit(float("inf")))).alias("bottleneck"), (F.col("way.score") + F.coalesce(weight, F.lit(0.0))).alias("score"),
-        (-F.col("node")).alias("last"), F.concat("way.path", F.array("b")).alias("path"),
-    )
-    known = settled(starts(edges).withColumn("way", way), edges, {"way": told}, {"way": F.max("way")})
-    last = F.struct("way.bottleneck", "way.score", (-F.col("node")).alias("last"), "way.path")
-    best = known.join(ends(edges), NODE).groupBy("locus").agg(F.max(last).alias("way"))
+    best = _ways(starts(edges), edges).join(ends(edges), NODE).select(*_last("locus")).groupBy("locus").agg(F.max("way").alias("way"))
     return best.select("locus", "way.path", "way.bottleneck", "way.score")
 
 
+def completed(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """locus, path, full, bottleneck of paths(locus, path): each partial path made one from a node without edges in to one without edges out.
+
+    Neighbours in the path are joined by their edge or, without one, by the widest way between them; the widest ways lead to its first node and
+    from its last one. bottleneck is the least weight on all of it. Paths with neighbours that no way joins, or cut off from either end, have
+    no row; equal paths have one. Ways are found for all loci and all asked nodes together.
+    """
+    edges = written(open_edges(edges))
+    paths = written(paths.select("locus", "path").distinct().withColumn("id", F.monotonically_increasing_id()))
+    pair = F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path")).alias("b"))
+    steps = paths.where(F.size("path") > 1).select("id", "locus", F.posexplode(pair).alias("k", "p")).select("id", "locus", "k", "p.a", "p.b")
+    infinite = F.lit(float("inf"))
+    direct = edges.groupBy("locus", "a", "b").agg(F.max(F.coalesce(F.col("weight").cast("double"), infinite)).alias("width"))
+    steps = written(steps.join(direct, ["locus", "a", "b"], "left"))
+    last = F.element_at("path", -1)
+    asked = steps.where("width is null").select("locus", F.col("a").alias("from")).union(paths.select("locus", last)).distinct()
+    # A graph for each asked node: the edges of its locus.
+    own = written(edges.join(asked, "locus").where("a >= from").select(F.struct("locus", "from").alias("locus"), "a", "b", "weight"))
+    ways = _ways(asked.select(F.struct("locus", "from").alias("locus"), F.col("from").alias("node")), own).select("locus.locus", "locus.from", "node", "way")
+    rest = F.slice("way.path", 2, F.size("way.path"))
+    head = paths.select("id", "locus", F.col("path")[0].alias("node")).join(_ways(starts(edges), edges), NODE).select("id", F.lit(-1).alias("k"), F.col("way.path").alias("piece"), F.col("way.bottleneck").alias("width"))
+    near = steps.where("width is not null").select("id", "k", F.array("b").alias("piece"), "width")
+    far = steps.where("width is null").drop("width").join(ways.select("locus", F.col("from").alias("a"), F.col("node").alias("b"), "way"), ["locus", "a", "b"]).select("id", "k", rest.alias("piece"), F.col("way.bottleneck").alias("width"))
+    out = ways.join(ends(edges), NODE).select(*_last("locus", "from")).groupBy("locus", "from").agg(F.max("way").alias("way"))
+    tail = paths.select("id", "locus", last.alias("from"), F.size("path").alias("k")).join(out, ["locus", "from"]).select("id", "k", rest.alias("piece"), F.col("way.bottleneck").alias("width"))
+    pieces = head.union(near).union(far).union(tail).groupBy("id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "piece"))), lambda x: x["piece"])).alias("full"), F.min("width").alias("bottleneck"), F.count(F.lit(1)).alias("n"))
+    return paths.join(pieces, "id").where(F.col("n") == F.size("path") + 1).select("locus", "path", "full", "bottleneck")
+
+
 def node_shares(edges: DataFrame) -> DataFrame:
     """locus, node, psi: the share of the locus's transcripts that run through each node, over all paths and without listing any.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from spliceflow.functions import reads as R
-from spliceflow.operators import anchors, boundaries, curves, graph, longreads
+from spliceflow.operators import anchors, boundaries, curves, flows, graph, longreads
 from spliceflow.operators import transcripts as T
 from spliceflow.operators.tables import written
 from spliceflow.plans.domain import sql, view
@@ -95,3 +95,14 @@ SELECT CAST(trial AS INT) AS trial, size, round(q, 9) AS q, count(*) AS n, round
 def learning_curve(spark, sf_dir):
     out = curves.learning_curve(view(spark, sf_dir, "cal").select("id", "estimate", "truth"))
     return out.select("trial", "size", F.round("q", 9).alias("q"), "n", *(F.round(c, 9).alias(c) for c in ("coverage", "width", "reliable", "precision")))
+
+
+@query("phasing_seeds")
+def phasing_seeds(spark, sf_dir):
+    """Paths of every second exon of the transcripts, completed through the graph of all of them."""
+    nodes = graph.graph(*_parts(spark, sf_dir))[0].select("locus", "node", "s")
+    exons = view(spark, sf_dir, "exons").select(F.col("gene").alias("locus"), "tx", "s", F.row_number().over(Window.partitionBy("tx").orderBy("s")).alias("nth"))
+    partial = exons.where("nth % 2 = 1").join(nodes, ["locus", "s"]).groupBy("locus", "tx").agg(F.array_sort(F.collect_list("node")).alias("path"))
+    out = flows.completed(partial, _supported(spark, sf_dir))
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), "-").alias(c)
+    return out.select("locus", text("path"), text("full"), "bottleneck")

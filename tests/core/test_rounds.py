@@ -84,6 +84,35 @@ def test_shares_are_sums_over_all_paths(spark):
     assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
 
 
+def test_partial_paths_are_completed_by_the_widest_ways(spark):
+    rows, rng = random_loci(7), np.random.default_rng(7)
+    graphs = by_locus(rows)
+    asked = [(k, sorted(int(n) for n in rng.choice(range(1, 9), rng.integers(1, 4), replace=False))) for k in graphs for _ in range(6)]
+    got = {(r.locus, tuple(r.path)): r for r in flows.completed(spark.createDataFrame(asked + asked[:3], "locus long, path array<int>"), spark.createDataFrame(rows, EDGES)).collect()}
+    found = 0
+    for k, path in {(k, tuple(p)) for k, p in asked}:
+        edges = graphs[k]
+        weight = {(a, b): math.inf if w is None else w for a, b, w in edges}
+        heads, tails = {b for _, b, _ in edges}, {a for a, _, _ in edges}
+        width = {(n, n): math.inf for n in heads | tails}
+        for b in sorted(heads):
+            for n in heads | tails:
+                best = max((min(width[n, a], w) for (a, c), w in weight.items() if c == b and (n, a) in width), default=None)
+                if best is not None and n != b:
+                    width[n, b] = best
+        into = max((width[s, path[0]] for s in tails - heads if (s, path[0]) in width), default=None)
+        out = max((width[path[-1], t] for t in heads - tails if (path[-1], t) in width), default=None)
+        between = [weight.get(p, width.get(p)) for p in itertools.pairwise(path)]
+        if into is None or out is None or None in between:
+            assert (k, path) not in got
+            continue
+        found += 1
+        full = got[k, path].full
+        assert got[k, path].bottleneck == min([into, out, *between]) == min((weight[p] for p in itertools.pairwise(full)), default=math.inf)
+        assert full[0] not in heads and full[-1] not in tails and [n for n in full if n in path] == list(path)
+    assert found > 10
+
+
 def test_empty_graphs(spark):
     none = spark.createDataFrame([], EDGES)
     assert flows.widest_paths(none).collect() == flows.node_shares(none).collect() == graph.peeled(none).collect() == []
