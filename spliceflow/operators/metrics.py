@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceflow.functions.calibration import interval_score
-from spliceflow.operators.ranks import running
+from spliceflow.operators.ranks import best_below, running
 
 
 def share(condition: Column) -> Column:
@@ -58,15 +58,18 @@ def average_ranks(rows: DataFrame, keys: list[str], value_col: str, out_col: str
 
 
 def holm(rows: DataFrame, p_col: str = "p", out_col: str = "p_holm") -> DataFrame:
-    """Holm-adjusted p values of a small table."""
-    order = Window.partitionBy(F.lit(0)).orderBy(p_col)
-    m = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    step = F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p_col))
-    return rows.withColumn("__step", step).withColumn(out_col, F.max("__step").over(order)).drop("__step")
+    """rows with Holm-adjusted p values: the greatest of (tests at or above p) * p over this and smaller p, at most 1. Equal p get equal
+    values; null p are no tests and stay null. Ranks come from counted values, whatever the number of tests."""
+    counts = rows.where(F.col(p_col).isNotNull()).groupBy(p_col).agg(F.count(F.lit(1)).alias("__n"))
+    step = F.least(F.lit(1.0), (F.col("total___n") - F.col("before___n")) * F.col(p_col))
+    steps = running(counts, [], p_col, "__n").select(p_col, step.alias("__step"))
+    adjusted = best_below(steps, p_col, "__step", "__before").select(p_col, F.greatest("__step", "__before").alias(out_col))
+    return rows.join(adjusted, p_col, "left").select(*rows.columns, out_col)
 
 
 def pareto_front(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Points that no other beats in both x and y; of equals all stay."""
-    best_above = F.max(F.col("__best")).over(Window.partitionBy(F.lit(0)).orderBy(F.desc(x)).rowsBetween(Window.unboundedPreceding, -1))
-    by_x = points.groupBy(x).agg(F.max(y).alias("__best")).withColumn("__above", best_above)
-    return points.join(by_x, x).where((F.col(y) == F.col("__best")) & (F.col("__above").isNull() | (F.col(y) > F.col("__above")))).drop("__best", "__above")
+    """Points that no other beats in both x and y; of equals all stay, points with a null don't. The best y by x first, then the best of all
+    greater x, handed from bucket to bucket."""
+    by_x = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.max(y).alias("__best")).withColumn("__down", -F.col(x))
+    above = best_below(by_x, "__down", "__best", "__above").drop("__down")
+    return points.join(above, x).where((F.col(y) == F.col("__best")) & (F.col("__above").isNull() | (F.col(y) > F.col("__above")))).select(*points.columns)

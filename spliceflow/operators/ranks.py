@@ -35,3 +35,13 @@ def running(counts: DataFrame, keys: list[str], value: str, *columns: str) -> Da
     inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     out = dealt.join(handed, same).withColumns({f"before_{c}": F.col(f"before_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
     return out.select(*counts.columns, *(f"{kind}_{c}" for c in columns for kind in ("before", "total")))
+
+
+def best_below(rows: DataFrame, value: str, column: str, out: str) -> DataFrame:
+    """rows (a row for each value, values not null) with the greatest of column over the rows of smaller values; null where there are none.
+    The buckets' maxima are one small table; the rows are only sorted within their bucket."""
+    dealt = rows.withColumn("__bucket", bucket(F.col(value)))
+    below = Window.partitionBy(F.lit(0)).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = dealt.groupBy("__bucket").agg(F.max(column).alias("__most")).select("__bucket", F.max("__most").over(below).alias("__handed"))
+    inside = Window.partitionBy("__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(per, "__bucket").withColumn(out, F.greatest("__handed", F.max(column).over(inside))).select(*rows.columns, out)
