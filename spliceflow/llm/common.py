@@ -103,10 +103,11 @@ def _mark(edges: DataFrame) -> tuple:
 def _toward_min(rows: DataFrame, keep_larger: bool) -> DataFrame:
     """For each u, links its partners (those above u, or all) and u itself to the smallest of them.
 
-    The minima are a table of their own, so both sides of the join are exchanged by u and Spark can split a u with very many partners.
+    The minima are a table of their own, so both sides of the join are exchanged by u and Spark can split a u with very many partners. They
+    are never broadcast: small files can hold many rows, all of which would pass through the driver in every round.
     """
     least = cut(rows.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    met = rows.join(least, "u")
+    met = rows.join(least.hint("merge"), "u")
     if keep_larger:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

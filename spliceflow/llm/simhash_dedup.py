@@ -98,8 +98,8 @@ def _near(prints: DataFrame) -> DataFrame:
     """(u, v) links between different fingerprints of prints(fp)."""
     m = len(WIDTHS)
     dealt = prints.select("fp", F.explode(F.array(*_chain_keys(F.col("fp")))).alias("at")).select("fp", "at.chain", "at.key")
-    large = cut(dealt.groupBy("chain", "key").count().where(F.col("count") > LARGE_BUCKET).select("chain", "key"))
-    crowded = large.count() > 0
+    large = cut(dealt.groupBy("chain", "key").count().where(F.col("count") > LARGE_BUCKET).select("chain", "key")).hint("merge")
+    crowded = not large.isEmpty()
     usual = dealt.join(large, ["chain", "key"], "left_anti") if crowded else dealt
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     budget = F.lit(True)
@@ -137,11 +137,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, more: list[Column]) ->
     prints = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprints(F.col(text_col)).alias("fp"), *more))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(components(_near(distinct.select("fp"))))
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    # Tables of a row for each fingerprint grow with the input: they are exchanged, never broadcast from the driver.
+    joined = distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = cut(joined.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
+    by_print = cut(joined.select("fp", "root").join(least.hint("merge"), "root").select("fp", "root", "component_id"))
     drop_cut(roots)
-    return prints.join(by_print, "fp")
+    return prints.join(by_print.hint("merge"), "fp")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,8 +158,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stays = (F.col("root") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("hash") == F.col("h"))
     doc, hash_ = unused(docs, "doc", "hash")
     named = [F.col("doc_id").alias(doc), F.col("hash").alias(hash_)]
-    dropped = cut(keys.join(first, stays, "left_anti").select(*named))
-    repeated = cut(keys.where("times > 1").join(first, stays, "left_semi").select(*named))
+    dropped = cut(keys.join(first.hint("merge"), stays, "left_anti").select(*named)).hint("merge")
+    repeated = cut(keys.where("times > 1").join(first.hint("merge"), stays, "left_semi").select(*named)).hint("merge")
     same = F.col(id_col).cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(text_col) == F.col(hash_))
     kept = docs.join(dropped, same, "left_anti")
     if repeated.isEmpty():

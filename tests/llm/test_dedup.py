@@ -290,3 +290,10 @@ def test_keep_one_decides_by_row(spark):
     kept = simhash_dedup.keep_one(spark.createDataFrame([(i, t, "", "", 1) for i, t in rows], DOCS))
     want = [(3, a), (7, b), (None, c), (None, d), (9, e), (None, None)]
     assert sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, want))
+
+
+def test_tables_of_fingerprints_are_not_broadcast(spark):
+    docs = spark.createDataFrame([(i, f"some words of text number {i}", "", "", 1) for i in range(20)], DOCS)
+    out = simhash_dedup.simhash_groups(docs)
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 20
