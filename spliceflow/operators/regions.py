@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceflow.operators.intervals import overlap_join
+from spliceflow.operators.intervals import overlapped
 
 
 def flanking_region(genes: DataFrame, target: Column, n_genes: int, bases: int) -> DataFrame:
@@ -26,9 +26,8 @@ def single_exon_candidates(depths: DataFrame, keys: list[str], bin_width: int, l
 
 def lost_at(truth: DataFrame, loci: DataFrame, found: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """truth with the stage at which each was lost: no_locus, no_match or found. found holds ids."""
-    inside = overlap_join(truth, loci, keys).select(id_col).distinct().withColumn("__locus", F.lit(True))
     hit = found.select(id_col).distinct().withColumn("__found", F.lit(True))
-    out = truth.join(inside, id_col, "left").join(hit, id_col, "left")
+    out = overlapped(truth, loci, keys, "__locus").join(hit, id_col, "left")
     return out.withColumn("stage", F.when(F.col("__found"), "found").when(F.col("__locus"), "no_match").otherwise("no_locus")).drop("__locus", "__found")
 
 

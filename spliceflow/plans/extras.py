@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from spliceflow.functions import calibration as C
 from spliceflow.operators import intervals, regions
+from spliceflow.operators.crowded import half_covered
 from spliceflow.plans.calibration import SCORED_SQL, scored
 from spliceflow.plans.domain import sql, view
 from spliceflow.plans.registry import query
@@ -38,7 +39,7 @@ def loss_accounting(spark, sf_dir):
     """All intervals are the truth, the reads' first blocks the loci; what one of them covers by half is found."""
     truth = view(spark, sf_dir, "iv")
     loci = view(spark, sf_dir, "blocks").selectExpr("chrom", "s AS rs", "e AS re")
-    found = intervals.overlap_join(truth, loci, ["chrom"]).where("least(e, re) - greatest(s, rs) >= 0.5 * (e - s)").select("id").distinct()
+    found = half_covered(truth, loci, ["chrom"]).select("id")
     return regions.lost_at(truth, loci, found, ["chrom"], "id").select("id", "stage")
 
 
