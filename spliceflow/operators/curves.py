@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from spliceflow.operators.tables import written
+
 SIZES = (20, 30, 40, 50, 70, 90)
 #: Effects that count as real.
 REAL = 0.05
@@ -15,9 +17,17 @@ REAL = 0.05
 def nested_samples(rows: DataFrame, trials: int, most: int) -> DataFrame:
     """trial, place, id, estimate, truth: for each trial the `most` rows of least MD5 of id and trial, in that order.
 
-    The first n are the trial's sample of n, so all sizes come from one pass. Buckets are cut to `most` rows each before a trial's rows meet.
+    The first n are the trial's sample of n, so all sizes come from one pass. Only keys below a bound that some hundreds of a trial's rows are expected under
+    are sorted; should a trial have fewer than `most` there, all keys are. Buckets are cut to `most` rows each before a trial's rows meet.
     """
     dealt = rows.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("key", F.md5(F.concat_ws("-", "id", "trial")))
+    total = rows.count()
+    share = (4 * most + 200) / max(total, 1)
+    if share < 1:
+        low = written(dealt.where(F.col("key") < f"{int(share * (1 << 60)):015x}").select("trial", "key", "id", "estimate", "truth"))
+        counts = [r["count"] for r in low.groupBy("trial").count().collect()]
+        if len(counts) == trials and min(counts) >= most:
+            dealt = low
     first = lambda *by: F.row_number().over(Window.partitionBy("trial", *by).orderBy("key", "id"))
     few = dealt.withColumn("bucket", F.substring("key", 32, 1)).withColumn("place", first("bucket")).where(F.col("place") <= most)
     return few.withColumn("place", first()).where(F.col("place") <= most).select("trial", "place", "id", "estimate", "truth")
