@@ -12,6 +12,8 @@ from spliceflow.operators.metrics import share, wilson
 from spliceflow.operators.ranks import running
 
 NOMINAL = 0.95
+#: Bits of a number that stand for configurations of a grid.
+BITS = 60
 
 
 def gate_grid(rows: DataFrame, keys: list[str], gates: dict[str, bool], success: str) -> DataFrame:
@@ -54,14 +56,20 @@ def filter_grid(transcripts: DataFrame, reference: DataFrame, keys: list[str], s
     """min_score, min_coverage, min_support, found, hits, f1 of each configuration: different chains of transcripts(keys, chain, score,
     cov, support, n_exons, length) that pass, against the reference's(keys, chain).
 
-    A transcript is copied to the configurations it passes only; what a configuration finds is counted without its chains being gathered.
+    The configurations that a transcript passes are bits of a few numbers, so it is exchanged once, whatever their number; different chains are then counted by
+    their bits.
     """
-    grid = F.array(*(F.struct(F.lit(float(s)).alias("s"), F.lit(float(c)).alias("c"), F.lit(n).alias("n")) for s in scores for c in coverages for n in supports))
+    choices = [(float(s), float(c), n) for s in scores for c in coverages for n in supports]
+    grid = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s).alias("s"), F.lit(c).alias("c"), F.lit(n).alias("n")) for i, (s, c, n) in enumerate(choices)))
     score, cov = F.col("score"), F.col("cov")
-    passed = F.filter(grid, lambda g: ((score >= g["s"]) | ((cov >= F.greatest(F.lit(20.0), 10 * g["c"])) & (score >= g["s"] / 2))) & (cov >= g["c"]) & ((F.col("n_exons") < 2) | (F.col("support") >= g["n"])) & (F.col("length") >= 50))
+    passes = lambda s, c, n: ((score >= s) | ((cov >= max(20.0, 10 * c)) & (score >= s / 2))) & (cov >= c) & ((F.col("n_exons") < 2) | (F.col("support") >= n)) & (F.col("length") >= 50)
+    words = [f"__w{k}" for k in range(-(-len(choices) // BITS))]
+    bits = {w: reduce(Column.__add__, (F.when(passes(*g), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, g in enumerate(choices[k * BITS : (k + 1) * BITS]))) for k, w in enumerate(words)}
     truth = reference.select(*keys, "chain").distinct().withColumn("__true", F.lit(1))
-    chains = transcripts.select(*keys, "chain", F.explode(passed).alias("g")).distinct().join(truth, [*keys, "chain"], "left")
-    counts = chains.groupBy("g").agg(F.count(F.lit(1)).alias("found"), F.count("__true").alias("hits"))
+    chains = transcripts.select(*keys, "chain", *(b.alias(w) for w, b in bits.items())).where(reduce(Column.__or__, (F.col(w) != 0 for w in words))).groupBy(*keys, "chain").agg(*(F.bit_or(w).alias(w) for w in words))
+    alike = chains.join(truth, [*keys, "chain"], "left").groupBy(*words).agg(F.count(F.lit(1)).alias("n"), F.count("__true").alias("h"))
+    held = F.filter(grid, lambda g: F.call_function("getbit", F.get(F.array(*words), F.floor(g["i"] / BITS).cast("int")), g["i"] % BITS) == 1)
+    counts = alike.select("n", "h", F.explode(held).alias("g")).groupBy("g").agg(F.sum("n").alias("found"), F.sum("h").alias("hits"))
     wanted = truth.agg(F.count(F.lit(1)).alias("__n"))
     f1 = 2 * F.col("hits") / F.greatest(F.col("found") + F.col("__n"), F.lit(1))
     every = transcripts.sparkSession.range(1).select(F.explode(grid).alias("g"))
