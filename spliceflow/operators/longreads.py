@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceflow.operators.flows import NODE, ends, settled, starts
 from spliceflow.operators.intervals import overlap_join
-from spliceflow.operators.tables import written
-
-#: Nodes of a locus are numbered below this.
-_NODES = 1 << 32
+from spliceflow.operators.tables import swept
 
 
 def matched_nodes(exons: DataFrame, nodes: DataFrame, tolerance: int = 5) -> DataFrame:
-    """locus, read, exon, node of exons(locus, read, exon, s, e) and nodes(locus, node, s, e): a node matches that lies within the exon give or
-    take the tolerance, or has over half of it inside."""
-    wide = exons.select("locus", "read", "exon", (F.col("s") - tolerance).alias("s"), (F.col("e") + tolerance).alias("e"))
-    met = overlap_join(wide, nodes.select("locus", "node", F.col("s").alias("rs"), F.col("e").alias("re")), ["locus"])
+    """exons(locus, read, exon, s, e, ...) with each node(locus, node, s, e, ...) that matches: one that lies within the exon give or take the tolerance, or has
+    over half of it inside."""
+    wide = exons.withColumns({"s": F.col("s") - tolerance, "e": F.col("e") + tolerance})
+    met = overlap_join(wide, nodes.withColumnsRenamed({"s": "rs", "e": "re"}), ["locus"])
     inside = (F.col("rs") >= F.col("s")) & (F.col("re") <= F.col("e"))
     shared = F.least(F.col("re"), F.col("e") - tolerance) - F.greatest(F.col("rs"), F.col("s") + tolerance)
-    return met.where(inside | (2 * shared > F.col("re") - F.col("rs"))).select("locus", "read", "exon", "node")
+    return met.where(inside | (2 * shared > F.col("re") - F.col("rs"))).drop("s", "e", "rs", "re")
+
+
+def _follow(state: dict, exon: int, node: int, last: int, into: list[int] | None, open_: bool | None, closed: bool | None) -> None:
+    """The best chain to a node of an exon, from those to the nodes before it, which came before."""
+    chains = state.setdefault("chains", {})
+    state["last"] = last
+    state.setdefault("opens", {})[node], state.setdefault("closes", {})[node] = bool(open_), bool(closed)
+    told = [chains[x, a] for a in into or () for x in (exon - 1, exon) if (x, a) in chains]
+    best = min(((-len(way), way) for way in told), default=None)
+    if best:
+        chains[exon, node] = (*best[1], node)
+    elif exon == 1:
+        chains[exon, node] = (node,)
+
+
+def _followed(state: dict) -> list[tuple]:
+    reached = [(-len(way), way) for (exon, _), way in state["chains"].items() if exon == state["last"]]
+    if not reached:
+        return []
+    path = min(reached)[1]
+    return [(list(path), state["opens"][path[0]] and state["closes"][path[-1]])]
 
 
 def longread_paths(exons: DataFrame, nodes: DataFrame, edges: DataFrame, tolerance: int = 5) -> DataFrame:
@@ -28,22 +45,17 @@ def longread_paths(exons: DataFrame, nodes: DataFrame, edges: DataFrame, toleran
 
     A chain follows edges from node to node; each node matches the read's exon of the one before or the next exon, and every exon has a node.
     exons number from 1 without gaps. complete: the chain runs from a node without edges in to one without edges out, so that it can
-    guide a decomposition. A read without a chain has no row. All reads go together; a round is a join of matched nodes with edges.
+    guide a decomposition. A read without a chain has no row. A node brings the nodes before it along, so reads meet their locus's graph once, and
+    a read's matches stream through one task in their order.
     """
-    pairs = written(matched_nodes(exons, nodes, tolerance).withColumn("at", F.col("exon").cast("long") * _NODES + F.col("node")))
-    left, right = (pairs.select("locus", "read", F.col("node").alias(c), F.col("at").alias(f"at_{c}"), F.col("exon").alias(f"x_{c}")) for c in ("a", "b"))
-    links = edges.select("locus", "a", "b").distinct().join(left, ["locus", "a"]).join(right, ["locus", "read", "b"]).where("x_b in (x_a, x_a + 1)")
-    links = written(links.select(F.struct("locus", "read").alias("locus"), F.col("at_a").alias("a"), F.col("at_b").alias("b")))
-    begin = pairs.where("exon = 1").select(F.struct("locus", "read").alias("locus"), F.col("at").alias("node"), F.struct(F.lit(1).alias("n"), F.array(-F.col("node").cast("long")).alias("back")).alias("way"))
-    told = F.struct((F.col("way.n") + 1).alias("n"), F.concat("way.back", F.array(-F.pmod("b", F.lit(_NODES)))).alias("back"))
-    known = settled(begin, links, {"way": told}, {"way": F.max("way")})
-    last = exons.groupBy("locus", "read").agg(F.max("exon").alias("exon")).select(F.struct("locus", "read").alias("locus"), "exon")
-    best = known.join(last, "locus").where(F.floor(F.col("node") / _NODES) == F.col("exon")).groupBy("locus").agg(F.max("way").alias("way"))
-    found = best.select("locus.locus", "locus.read", F.transform("way.back", lambda n: (-n).cast("int")).alias("path"))
-    opening = starts(edges).select("locus", F.col("node").alias("first"), F.lit(True).alias("opens"))
-    closing = ends(edges).select("locus", F.col("node").alias("last"), F.lit(True).alias("closes"))
-    out = found.withColumns({"first": F.col("path")[0], "last": F.element_at("path", -1)}).join(opening, ["locus", "first"], "left").join(closing, ["locus", "last"], "left")
-    return out.select("locus", "read", "path", (F.col("opens").isNotNull() & F.col("closes").isNotNull()).alias("complete"))
+    ends = edges.select("locus", F.col("b").alias("node"), F.col("a").alias("into")).distinct().union(edges.select("locus", F.col("a").alias("node"), F.lit(None).cast(edges.schema["a"].dataType)).distinct())
+    ways = ends.groupBy("locus", "node").agg(F.collect_list("into").alias("into"), F.bool_or(F.col("into").isNull()).alias("leaves"))
+    known = nodes.select("locus", "node", "s", "e").join(ways, ["locus", "node"], "left")
+    known = known.withColumns({"opens": F.col("leaves") & (F.size("into") == 0), "closes": ~F.col("leaves")}).drop("leaves")
+    numbered = exons.withColumn("last", F.max("exon").over(Window.partitionBy("locus", "read")))
+    pairs = matched_nodes(numbered.select("locus", "read", "exon", "last", "s", "e"), known, tolerance)
+    kind = nodes.schema["node"].dataType.simpleString()
+    return swept(pairs.select("locus", "read", "exon", "node", "last", "into", "opens", "closes"), ["locus", "read"], ["exon", "node"], _follow, _followed, f"path array<{kind}>, complete boolean")
 
 
 def guide_paths(paths: DataFrame) -> DataFrame:
@@ -51,4 +63,4 @@ def guide_paths(paths: DataFrame) -> DataFrame:
     return paths.where("complete").groupBy("locus", "path").agg(F.count(F.lit(1)).alias("reads"))
 
 
-__all__ = ["NODE", "guide_paths", "longread_paths", "matched_nodes"]
+__all__ = ["guide_paths", "longread_paths", "matched_nodes"]
