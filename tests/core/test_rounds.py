@@ -281,3 +281,46 @@ def test_learning_curve_of_few_rows(spark):
     summary = {r["size"]: r for r in curves.curve_summary(frame.sparkSession.createDataFrame([(20, 0.5, 1.0, 0.1, None), (20, 0.7, 3.0, 0.3, 1.0)], "size int, coverage double, width double, reliable double, precision double")).collect()}
     assert summary[20].coverage == pytest.approx(0.6) and summary[20].width == 2.0 and summary[20].precision == 1.0
     assert curves.learning_curve(frame.limit(0), trials=2).collect() == []
+
+
+def test_a_sweep_takes_a_key_row_by_row_across_batches(spark):
+    from spliceflow.operators import tables
+
+    rows = spark.range(30_000).selectExpr("id % 3 as locus", "id div 3 as a", "cast(if(id % 7 = 0, null, id) as double) as x")
+
+    def fold(state, a, x):
+        assert a == state.get("n", 0)
+        state["n"], state["nulls"] = a + 1, state.get("nulls", 0) + (x is None)
+
+    got = {r.locus: (r.n, r.nulls) for r in tables.swept(rows, ["locus"], ["a"], fold, lambda s: [(s["n"], s["nulls"])], "n bigint, nulls int").collect()}
+    assert got == {k: (10_000, sum(i % 7 == 0 for i in range(k, 30_000, 3))) for k in range(3)}
+
+
+def test_programmes_over_loci_exchange_edges_once_and_write_nothing(spark, monkeypatch):
+    from spliceflow.operators import tables
+
+    monkeypatch.setattr(tables, "written", lambda df: pytest.fail("written"))
+    edges = spark.createDataFrame(random_loci(3), EDGES)
+    paths = spark.createDataFrame([(k, [1, 5]) for k in range(12)], "locus long, path array<int>")
+    for out, most in ((flows.widest_paths(edges), 1), (flows.node_shares(edges), 1), (graph.peeled(edges), 1), (graph.locus_flow(edges), 1), (graph.decompose(edges), 1), (flows.completed(paths, edges), 4)):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= most
+
+
+def test_segments_and_supports_form_no_pairs(spark):
+    rng = np.random.default_rng(5)
+    junctions = sorted({(k, int(a), int(a + d)) for k in range(4) for a, d in zip(rng.integers(0, 400, 30), rng.integers(10, 200, 30), strict=True)})
+    js = spark.createDataFrame([(*j, 2) for j in junctions], "locus long, js long, je long, count long")
+    parts = graph.segments(spark.createDataFrame([(k, 0, 700) for k in range(4)], "locus long, s long, e long"), js)
+    want = set()
+    for k in range(4):
+        own = [(a, b) for x, a, b in junctions if x == k]
+        for s, e in itertools.pairwise(sorted({0, 700} | {p for j in own for p in j})):
+            if s in {b for _, b in own} or e in {a for a, _ in own} or (e - s >= 20 and not any(a <= s and b >= e for a, b in own)):
+                want.add((k, s, e))
+    assert {tuple(r) for r in parts.collect()} == want
+    exons = [(int(k), int(s), int(s + n), int(c)) for k, s, n, c in zip(rng.integers(0, 4, 300), rng.integers(0, 600, 300), rng.integers(0, 90, 300), rng.integers(1, 5, 300), strict=True)]
+    found = graph.supported(graph.graph(parts, js)[1], parts, spark.createDataFrame(exons, "locus long, s long, e long, count long"))
+    at = {(k, n): e for k in range(4) for n, (_, _, e) in enumerate(sorted(x for x in want if x[0] == k), 1)}
+    met = found.where("kind = 'continuation'").collect()
+    assert len(met) > 20 and all(r.weight == sum(c for k, s, e, c in exons if k == r.locus and s < at[k, r.a] < e) for r in met)
+    assert "rs#" not in found._jdf.queryExecution().optimizedPlan().toString()
