@@ -3,7 +3,8 @@
 import numpy as np
 import pytest
 
-from spliceflow.operators import commands
+from spliceflow.operators import boundaries, commands
+from test_rounds import plain_boundary
 
 
 def bases(rng, n):
@@ -36,3 +37,14 @@ def test_assembly_report_pairs_only_what_can_reach_the_share(spark, monkeypatch,
     assert (got.recall, got.precision, got.f1, got.recovered) == (*(pytest.approx(x) for x in want[:3]), want[3])
     pairs = next(t for t in kept if "contig" in t.columns)
     assert pairs.count() < 600
+
+
+def test_terminal_boundaries_form_no_pairs(spark):
+    rng = np.random.default_rng(3)
+    places = np.concatenate([rng.integers(0, 2_000, 400), rng.integers(498_000, 503_000, 400), rng.integers(600_000, 1_700_000, 60)])
+    blocks = [(int(c), int(s), int(s + rng.choice([3, 40, 300, 700_000], p=[0.3, 0.4, 0.295, 0.005]))) for c, s in zip(rng.integers(0, 2, len(places)), places, strict=True)]
+    ends = [(k, int(rng.integers(0, 3)), int(p), side) for k, p in enumerate([*rng.integers(0, 13_000, 60), *rng.integers(488_000, 513_000, 60), *rng.integers(0, 1_800_000, 40), 500_000, 499_999, -5]) for side in ("left", "right")]
+    out = boundaries.terminal_boundaries(spark.createDataFrame(ends, "anchor int, chrom int, pos long, side string"), spark.createDataFrame(blocks, "chrom int, s long, e long"))
+    assert "__level" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.anchor, r.side): r.boundary for r in out.collect()}
+    assert got == {(k, side): plain_boundary([(s, e) for b, s, e in blocks if b == c], p, side) for k, c, p, side in ends}
