@@ -107,9 +107,10 @@ def _near(prints: DataFrame) -> DataFrame:
         third = F.bit_count(_segment(x, i + 2))
         fourth = F.bit_count(_segment(x, i + 3))
         budget = F.when(F.floor(F.col("a.chain") / m) == i, (third * m <= 3 * MAX_BITS) & ((third + fourth) * m <= 4 * MAX_BITS)).otherwise(budget)
+    # Spark sizes dealt by the fingerprints' file, without the 25 keys of each: below some size it would broadcast all of them.
     links = (
         usual.alias("a")
-        .join(usual.alias("b"), (F.col("a.chain") == F.col("b.chain")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & budget & (F.bit_count(x) <= MAX_BITS))
+        .join(usual.alias("b").hint("merge"), (F.col("a.chain") == F.col("b.chain")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & budget & (F.bit_count(x) <= MAX_BITS))
         .select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"))
     )
     if not crowded:

@@ -297,3 +297,10 @@ def test_tables_of_fingerprints_are_not_broadcast(spark):
     out = simhash_dedup.simhash_groups(docs)
     assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 20
+
+
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    prints = simhash_dedup.cut(spark.createDataFrame([(i * 7919,) for i in range(50)], "fp long"))
+    links = simhash_dedup._near(prints)
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
+    assert {(r.u, r.v) for r in links.collect()} == {(a * 7919, b * 7919) for a in range(50) for b in range(50) if a < b and (a * 7919 ^ b * 7919).bit_count() <= 2}
